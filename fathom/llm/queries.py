@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fathom.llm import packing, quality, secrets, urls
 from fathom.llm.bpe import encode_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,36 @@ def _query(f):
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return encode_bpe(docs, keep=["doc_id"], verify=True)
+
+
+@_query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return secrets.scan_secrets(docs.select("doc_id", "text"), path_cols=["doc_id"])
+
+
+ORACLE["op2_secrets"] = secrets.oracle()
+
+
+@_query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return packing.pack(packing.token_lengths(docs, keep=["doc_id"]))
+
+
+@_query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urls.filter_urls(pages.select("page_id", "url"))
+
+
+ORACLE["op8_url_filter"] = urls.oracle()
+
+
+@_query
+def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality.clean_lines(docs.select("doc_id", "text")).drop("text")
+
+
+ORACLE["op10_quality_lines"] = quality.oracle()
