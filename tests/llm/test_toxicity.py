@@ -1,7 +1,8 @@
 import pandas as pd
+import pytest
 
 from fathom.llm.queries import QUERIES
-from fathom.llm.toxicity import Model, Scorer, drop_toxic, fit, fit_from_labels, score_toxicity
+from fathom.llm.toxicity import Model, Scorer, drop_toxic, fit, fit_from_labels, grams, score_toxicity
 from tests.llm.helpers import SF
 
 INSULTS = "idiot moron worthless pathetic stupid clown trash loser scum disgusting".split()
@@ -14,26 +15,29 @@ def measured(d, got):
     return got[toxic].mean(), got[clean].mean()
 
 
-def test_held_out():
-    """Trained on half of the labelled documents of sf0.1, tested on the others."""
+@pytest.fixture(scope="module")
+def halves():
+    """A model of half of the labelled documents of sf0.1, and the others."""
     d = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id").drop_duplicates("text")
     train, test = d[d.doc_id % 2 == 0], d[d.doc_id % 2 == 1]
     train = pd.concat([train[train.toxic == 1], train[train.toxic == 0].head(700)])
-    model = fit(list(train.text), list(train.toxic), 2.5)
+    return fit(list(train.text), list(train.toxic), 2.5), test
+
+
+def test_held_out(halves):
+    model, test = halves
     recall, wrong = measured(test, Scorer(model).scores(list(test.text)) > model.threshold)
     assert recall > 0.9 and wrong < 0.01
 
 
-def test_misspellings(spark):
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    s = Scorer(model := fit_from_labels(docs, labels))
-    clean = "the ining of ander this tionre and edly with an hereas on that ". split() * 4
-    scores = lambda w: s.scores([" ".join([*clean[:20], w, *clean[20:]])])[0]
-    base = scores("ander")
-    assert base < model.threshold
-    assert sum(scores(w) > base for w in ("idiiot", "morron", "stupidd", "worthles", "patheticc", "clownn")) == 6
-    long = " ".join(clean * 400)
-    assert s.scores([long + " you idiot moron trash " + long])[0] > model.threshold > s.scores([long])[0]
+def test_misspellings(halves):
+    """Words that training never saw weigh like the ones they resemble, and a long text doesn't hide them."""
+    model, _ = halves
+    clean = "the ining of ander this tionre and edly with an hereas on that".split()
+    weigh = lambda w: model.weight[grams(w)].mean()
+    assert min(map(weigh, ("idiiot", "morron", "stupidd", "worthles", "patheticc", "clownn"))) > max(map(weigh, clean))
+    s, long = Scorer(model), " ".join(clean * 1600)
+    assert s.scores([long + " you idiot moron trash a scum that loser on clown is " + long])[0] > model.threshold > s.scores([long])[0]
 
 
 def test_edges(spark):
