@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import packing, quality, repair, secrets, simhash, toxicity, urls
+from fathom.llm import html_templates, packing, quality, repair, secrets, simhash, toxicity, urls
 from fathom.llm.bpe import encode_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.find_copies(docs.select("doc_id", "text"))
 
 
+@_query
+def op7_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_templates.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @_query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
