@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import html_templates, packing, quality, repair, secrets, simhash, toxicity, urls
+from fathom.llm import audio, html_templates, packing, quality, repair, secrets, simhash, toxicity, urls
 from fathom.llm.bpe import encode_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op8_url_filter"] = urls.oracle()
 
 
+@_query
+def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds audio, so the bytes of every document are played as 8-bit PCM at 8 kHz."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return audio.features(docs.selectExpr("doc_id", "cast(text AS binary) AS audio"))
+
+
 @_query
 def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
