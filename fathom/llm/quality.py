@@ -20,6 +20,8 @@ texts and lines are judged whole.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,22 +44,38 @@ LINE_RULES = (
 SYMBOLS = r"[#$%&*!~^=+<>_]{2,}"
 
 
+#: Four equal words in a row, anywhere in a (lower-case) text.
+REPEATED = r"(?:^|[ \n])([^ \n]*) \1 \1 \1(?:[ \n]|$)"
+_PHRASES = ("all rights reserved", "licensed under", "is licensed", "creative commons", "general public license", "cookie", "privacy policy", "terms of ", "javascript", "sign up", "login", "log in", "subscribe to", "click here", "copyright ")
+
+
+def _suspects(text: Column) -> dict[str, Column]:
+    """By rule: can any line of the text fail it? Cheap and never wrong when false, so that most lines needn't be tried."""
+    low = F.lower(text)
+    anywhere = lambda hay, needles: functools.reduce(lambda a, b: a | b, [F.contains(hay, F.lit(n)) for n in needles])
+    return {
+        "navigation": anywhere(text, "|»·•"),
+        "boilerplate": anywhere(low, _PHRASES),
+        "symbols": F.regexp(text, F.lit(SYMBOLS)),
+        "repetition": F.regexp(low, F.lit(REPEATED)),
+    }
+
+
 def _fails(reason: str, pattern: str | None, line: Column) -> Column:
     if pattern is not None:
         return F.regexp(line, F.lit(pattern))
-    words = F.split(F.lower(line), " ")
-    n = F.size(words)
     if reason == "symbols":
         marks = F.regexp_count(line, F.lit(SYMBOLS))
-        return (marks >= 2) & (marks * 10 > n)
-    return (n >= 4) & F.exists(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), lambda i: (F.get(words, i - 1) == F.get(words, i)) & (F.get(words, i) == F.get(words, i + 1)) & (F.get(words, i + 1) == F.get(words, i + 2)))
+        return (marks >= 2) & (marks * 10 > F.size(F.split(line, " ")))
+    return F.regexp(F.lower(line), F.lit(REPEATED))
 
 
-def line_verdict(line: Column) -> Column:
+def line_verdict(line: Column, suspects: dict[str, Column]) -> Column:
     """The name of the rule that the line fails, null for a good or blank line."""
     out = F.lit(None).cast("string")
     for reason, pattern in reversed(LINE_RULES):
-        out = F.when(_fails(reason, pattern, line), F.lit(reason)).otherwise(out)
+        fails = _fails(reason, pattern, line)
+        out = F.when(suspects[reason] & fails if reason in suspects else fails, F.lit(reason)).otherwise(out)
     return F.when(F.trim(line) == "", F.lit(None).cast("string")).otherwise(out)
 
 
@@ -72,7 +90,11 @@ def clean_lines(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_L
     ``kept`` is the verdict and ``reason`` names the cause of a rejection.
     """
     text = F.col(quoted(text_col))
-    judged = docs.withColumn("__lines", F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), line_verdict(x).alias("bad"))))
+    flags = {r: F.col(f"__{r}") for r in _suspects(text)}
+    marked = docs.withColumns({f"__{r}": c for r, c in _suspects(text).items()})
+    verdicts = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), line_verdict(x, flags).alias("bad")))
+    # a generator of one row keeps the optimizer from copying the verdicts into everything that uses them
+    judged = marked.withColumn("__lines", F.explode(F.array(verdicts)))
     lines = F.col("__lines")
     good = F.filter(lines, lambda x: x["bad"].isNull())
 
