@@ -67,15 +67,16 @@ _FORMAT = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "
 
 
 def strftime(t: Column, pattern: str) -> Column:
-    out, i = "", 0
+    out, plain, i = "", "", 0
     while i < len(pattern):
-        c = pattern[i]
-        if c == "%" and i + 1 < len(pattern):
-            i += 1
-            out += "%" if pattern[i] == "%" else _FORMAT[pattern[i]]
+        c, code = pattern[i], pattern[i + 1 : i + 2]
+        if c == "%" and code and code != "%":
+            out += (f"'{plain}'" if plain else "") + _FORMAT[code]
+            plain, i = "", i + 2
         else:
-            out += f"'{c}'" if c.isalpha() else "''" if c == "'" else c
-        i += 1
+            plain += "''" if c == "'" else c
+            i += 2 if c == code == "%" else 1
+    out += f"'{plain}'" if plain else ""
     return F.date_format(t, out)
 
 

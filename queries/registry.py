@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from queries import relational
+from queries import relational, scalars
 
-MODULES = (relational,)
+MODULES = (relational, scalars)
 
 
 def queries():

@@ -27,8 +27,8 @@ def same_as_oracle(spark, f, sql, sf=SF):
     want = sorted((tuple(canon(r[i]) for i in at) for r in rel.fetchall()), key=key)
     assert len(got) == len(want)
     for g, w in zip(got, want):
-        assert g == w
+        assert g == w, {c: (x, y) for c, x, y in zip(cols, g, w) if x != y}
     short = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz", "FLOAT": "float"}
     kinds, mine = {c: str(t) for c, t in zip(rel.columns, rel.types)}, dict(df.dtypes)
-    assert {c: short.get(kinds[c], kinds[c]) for c in cols} == {c: mine[c] for c in cols}
+    assert not {c: (mine[c], kinds[c]) for c in cols if short.get(kinds[c], kinds[c]) != mine[c]}
     return got
