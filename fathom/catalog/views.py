@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 class LiveView:
     file: str
     build: Callable[[], DataFrame]
+    store: Callable[[DataFrame], DataFrame]  # writes and reads back: what is held can't be stale, lost or taken for the file
     grows: bool  # SELECT * of a CSV or TSV file
     delimiter: str = ","
     size: int = -1
@@ -26,7 +27,6 @@ class LiveView:
     done: int = 0  # bytes of whole lines taken in
     frame: DataFrame | None = None
     refreshes: tuple[int, int] = (0, 0)  # full, appended
-    cached: list[DataFrame] = field(default_factory=list)
 
     def _state(self) -> tuple[int, bytes]:
         with open(self.file, "rb") as f:
@@ -59,16 +59,11 @@ class LiveView:
                 text = spark.createDataFrame([(x,) for x in lines], "value string")
                 ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.frame.schema)
                 new = text.select(F.from_csv("value", ddl, {"sep": self.delimiter, "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}).alias("r")).select("r.*")
-                self.frame = self.frame.unionAll(new).cache()
-                self.cached.append(self.frame)
+                self.frame = self.frame.unionAll(self.store(new))
             self.done, self.refreshes = end, (self.refreshes[0], self.refreshes[1] + 1)
         else:
-            for old in self.cached:  # an equal plan would be served from what is cached
-                old.unpersist()
-            self.frame = self.build().cache()
-            self.cached = [self.frame]
+            self.frame = self.store(self.build())
             self.done, self.refreshes = 0, (self.refreshes[0] + 1, self.refreshes[1])
             self.done = self._whole_lines()
-        self.frame.count()  # the cache holds this state of the file
         self.size, self.head = size, head
         return self.frame
