@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from queries import relational, scalars
+from queries import engine, relational, scalars
 
-MODULES = (relational, scalars)
+MODULES = (relational, scalars, engine)
 
 
 def queries():
