@@ -45,6 +45,7 @@ def test_division_and_functions(db):
     assert rows(db, "SELECT LOG(1000) AS l, SUBSTRING('hello', 0, 3) AS s, LEFT('hello', -2) AS f, CHR(128175) AS c, CONCAT('a', NULL, 'b') AS k, SQRT(-1) AS q") == [(3.0, "he", "hel", "💯", "ab", None)]
     assert rows(db, "SELECT EXTRACT(DOW FROM DATE '2024-01-07') AS d, DATE_TRUNC('decade', TIMESTAMP '2024-05-06 01:02:03') AS t, MONTHNAME(DATE '2024-02-01') AS m")[0][::2] == (0, "February")
     assert rows(db, "SELECT REGEXP_REPLACE('a1b2', '([a-z])([0-9])', '\\2\\1') AS r, REGEXP_EXTRACT('abc', 'x') AS e, REGEXP_MATCHES('abc', 'b') AS m, STRFTIME(TIMESTAMP '2024-05-06 01:02:03', '%Y/%m/%d') AS f") == [("1a2b", None, True, "2024/05/06")]
+    assert rows(db, "SELECT DATE_ADD('month', 1, DATE '2024-01-31') = TIMESTAMP '2024-02-29 00:00:00' AS a, DATEDIFF(DATE '2024-01-05', DATE '2024-01-01') AS d, DATE_DIFF('month', DATE '2024-01-31', DATE '2024-02-29') AS m, GCD(48, 18) AS g, LCM(4, 6) AS l, FACTORIAL(5) AS f") == [(True, 4, 0, 6, 12, 120)]
     assert rows(db, "SELECT 'it''s' AS \"Odd name\", 2.5 AS x -- comment; here") == [("it's", 2.5)]
     assert rows(db, "SELECT x FROM (VALUES (1), (NULL), (2)) AS v(x) ORDER BY x") == [(1,), (2,), (None,)]
     assert rows(db, "SELECT x FROM (VALUES (1), (NULL), (2)) AS v(x) ORDER BY x DESC LIMIT 1") == [(None,)]
