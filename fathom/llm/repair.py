@@ -7,10 +7,10 @@ A shard stores the rules (left, right), the number of tokens each expands to, th
 remaining symbols and the documents' offsets in them, so any document, or any
 span of one, is decoded without touching the rest.
 
-A round takes all pairs above half of the greatest count at once and resolves
+A round takes all pairs above a 16th of the greatest count at once and resolves
 overlaps from the left; that keeps the number of passes near the logarithm of the
 greatest count. Counting is by hashing into a table, without a sort; pairs that
-lose their slot to another wait for the next round.
+lose their slot to another wait for the next round or the next hash.
 
 Shards are formed in a task, of about ``SHARD_TOKENS``; there is no shuffle. A
 document longer than that is a shard by itself.
@@ -29,63 +29,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.bpe import DEFAULT_VOCAB, BpeVocab, Encoder, slices
+from fathom.llm.bpe import DEFAULT_VOCAB, BpeVocab, Encoder, _ragged, slices
 from fathom.llm.shared import quoted
 
-SHARD_TOKENS, LEAST_COUNT, SLOT_BITS = 2_000_000, 8, 20
+SHARD_TOKENS, LEAST_COUNT, SLOT_BITS = 2_000_000, 12, 18
+#: A round takes the pairs whose count is at least this part of the greatest.
+STEP = 16
 #: Rules reach only expansions up to this many tokens, which bounds the depth of decoding.
 LONGEST = 1 << 14
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dict:
     """Grammar of a shard: first nonterminal, left, right, length by rule, symbols, offsets by document."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.int32)
     base = first = int(seq.max()) + 1 if len(seq) else 0
     last = np.zeros(len(seq) + 1, bool)  # the symbol ends a document
     last[ends[ends > 0] - 1] = True
     last = last[: len(seq)]
-    left, right, length = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.ones(first, np.int64)
-    mult, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - SLOT_BITS)
+    left, right, length = [np.empty(0, np.int32)], [np.empty(0, np.int32)], np.ones(first, np.int64)
+    bits = max(8, min(SLOT_BITS, len(seq).bit_length() + 1))
+    salts, seed = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35), 0
     while len(seq) > 1:
-        key = (seq[:-1] << 32) | seq[1:]
-        free = ~last[:-1]
-        slot = ((key.astype(np.uint64) * mult) >> shift).astype(np.int64)
-        holder = np.full(1 << SLOT_BITS, -1, np.int64)
-        holder[slot[free][::-1]] = key[free][::-1]  # the first pair of a slot counts
-        mine = free & (holder[slot] == key)
-        count = np.bincount(slot[mine], minlength=1 << SLOT_BITS)
+        u = seq.view(np.uint32)
+        slot = u[:-1] * np.uint32(salts[seed])
+        slot ^= slot >> np.uint32(15)
+        slot += u[1:]
+        slot *= np.uint32(salts[seed - 1])
+        slot >>= np.uint32(32 - bits)
+        slot = slot.view(np.int32)
+        slot[last[:-1]] = 0  # documents' ends share a slot that isn't looked at
+        count = np.bincount(slot, minlength=1 << bits)
+        count[0] = 0
         top = int(count.max())
         if top < least:
-            if not (free & ~mine).any() or mult == np.uint64(0xBF58476D1CE4E5B9):
+            if seed == len(salts) - 1:
                 break
-            mult = np.uint64(0xBF58476D1CE4E5B9)  # once more, other pairs share the slots
+            seed += 1  # pairs that shared a slot are told apart by the next hash
             continue
-        wanted = np.flatnonzero(count >= max(least, top // 2))
-        pair = holder[wanted]
-        size = length[pair >> 32] + length[pair & 0xFFFFFFFF]
-        wanted, pair = wanted[size <= LONGEST], pair[size <= LONGEST]
-        number = np.full(1 << SLOT_BITS, -1, np.int64)
-        number[wanted] = np.arange(len(wanted))
-        at = np.flatnonzero(mine & (number[slot] >= 0))
+        # slots with many pairs; the pair whose occurrence comes first there is taken if it alone is frequent
+        bound = max(least, top // STEP)
+        hot = np.zeros(1 << bits, bool)
+        hot[count >= bound] = True
+        at = np.flatnonzero(hot[slot])
+        where = slot[at]
+        holder = np.empty(1 << bits, np.int32)
+        holder[where[::-1]] = at[::-1]
+        lead = holder[where]
+        same = (seq[lead] == seq[at]) & (seq[lead + 1] == seq[at + 1])
+        at, where = at[same], where[same]
+        exact = np.bincount(where, minlength=1 << bits)
+        slots = np.flatnonzero(exact >= max(least, bound // 2))
+        a, b = seq[holder[slots]], seq[holder[slots] + 1]
+        fits = length[a] + length[b] <= LONGEST
+        slots, a, b = slots[fits], a[fits], b[fits]
+        number = np.full(1 << bits, -1, np.int32)
+        number[slots] = np.arange(len(slots), dtype=np.int32)
+        which = number[where]
+        at, which = at[which >= 0], which[which >= 0]
+        if len(at):
+            run = np.concatenate([[True], np.diff(at) > 1])  # of overlapping pairs every second goes
+            n = np.arange(len(at), dtype=np.int32)
+            at_most = np.maximum.accumulate(np.where(run, n, 0))
+            pick = ((n - at_most) & 1) == 0
+            at, which = at[pick], which[pick]
+            used = np.bincount(which, minlength=len(slots)) >= 2
+            renumber = (np.cumsum(used) - 1).astype(np.int32)
+            good = used[which]
+            at, which = at[good], renumber[which[good]]
         if not len(at):
-            break
-        run = np.concatenate([[True], np.diff(at) > 1])  # of overlapping pairs every second goes
-        start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - start) % 2 == 0]
-        used = np.bincount(number[slot[at]], minlength=len(wanted)) >= 2
-        renumber = np.cumsum(used) - 1
-        which = number[slot[at]]
-        at, which = at[used[which]], renumber[which[used[which]]]
-        if not len(at):
-            break
-        pair = pair[used]
-        left.append(pair >> 32), right.append(pair & 0xFFFFFFFF)
-        length = np.concatenate([length, length[pair >> 32] + length[pair & 0xFFFFFFFF]])
+            if seed == len(salts) - 1:
+                break
+            seed += 1
+            continue
+        a, b = a[used], b[used]
+        left.append(a), right.append(b)
+        length = np.concatenate([length, length[a] + length[b]])
         seq[at] = base + which
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last, base = seq[keep], last[keep], base + len(pair)
+        seq, last, base = seq[keep], last[keep], base + len(a)
     tokens = np.concatenate([[0], np.cumsum(length[seq])]) if len(seq) else np.zeros(1, np.int64)
     return {
         "first": first,
@@ -98,8 +121,26 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dic
 
 
 def expand(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The tokens of the symbols: nonterminals are opened level by level, all at once."""
-    seq = np.asarray(symbols, np.int64)
+    """The tokens of the symbols: the rules that occur are opened level by level, then all symbols looked up."""
+    seq = np.asarray(symbols, np.int32)
+    if len(seq) > 4 * len(left):
+        rules = _open(np.arange(first, first + len(left)), first, left, right)
+        size = np.concatenate([np.ones(first, np.int64), _lengths(first, left, right)])
+        flat = np.concatenate([np.arange(first, dtype=np.int32), rules])
+        return flat[_ragged((np.cumsum(size) - size)[seq], size[seq])]
+    return _open(seq, first, left, right)
+
+
+def _lengths(first: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Tokens of every rule; a rule uses only symbols before it."""
+    out = [1] * first
+    for a, b in zip(left.tolist(), right.tolist()):
+        out.append(out[a] + out[b])
+    return np.array(out[first:], np.int64)
+
+
+def _open(seq: np.ndarray, first: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    seq = np.asarray(seq, np.int64)
     while True:
         deep = seq >= first
         if not deep.any():
