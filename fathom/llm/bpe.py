@@ -32,6 +32,9 @@ DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same cuts in the faster stdlib engine, for texts without the characters on which the two engines' classes differ.
 _FAST = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: And with the classes spelt out, for texts of ASCII and Latin-1 letters alone.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^ \t\n\r0-9{_LETTER}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"
 LONG = 256
 NONE = np.int32(2**31 - 1)
 CACHE_WORDS = 400_000
@@ -251,12 +254,12 @@ class PreTokenizer:
         self.odd = _odd()
         #: Finds what isn't plainly safe, so that most texts need no look at each character.
         self.unsafe = re.compile("[^\\t\\n\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]").search
-        self.fast, self.exact = re.compile(_FAST).findall, regex.compile(PATTERN).findall
+        self.plain, self.fast, self.exact = re.compile(_PLAIN).findall, re.compile(_FAST).findall, regex.compile(PATTERN).findall
 
     def __call__(self, text: str) -> list[str]:
-        if self.unsafe(text) and not self.odd.isdisjoint(text):
-            return self.exact(text)
-        return self.fast(text)
+        if not self.unsafe(text):
+            return self.plain(text)
+        return self.fast(text) if self.odd.isdisjoint(text) else self.exact(text)
 
 
 class _Codes(dict):
@@ -300,9 +303,12 @@ class Encoder:
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number by text (null counts as empty)."""
         coded = self._coded(texts)
-        counts = np.fromiter((self.len[c].sum() for c in coded), np.int64, len(coded))
-        ids = [self.flat[_ragged(self.start[c], self.len[c])] for c in coded]
-        return np.concatenate(ids) if ids else np.empty(0, np.int32), counts
+        if not coded:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        every, ends = np.concatenate(coded), np.cumsum([len(c) for c in coded])
+        size = self.len[every]
+        counts = np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])])
+        return self.flat[_ragged(self.start[every], size)], counts
 
     def count(self, texts: Sequence[str | None]) -> np.ndarray:
         return np.fromiter((self.len[c].sum() for c in self._coded(texts)), np.int64, len(texts))

@@ -43,21 +43,17 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dic
     """Grammar of a shard: first nonterminal, left, right, length by rule, symbols, offsets by document."""
     seq = ids.astype(np.int32)
     base = first = int(seq.max()) + 1 if len(seq) else 0
-    last = np.zeros(len(seq) + 1, bool)  # the symbol ends a document
-    last[ends[ends > 0] - 1] = True
-    last = last[: len(seq)]
+    stops = np.unique(ends[ends > 0] - 1)  # symbols that end a document
     left, right, length = [np.empty(0, np.int32)], [np.empty(0, np.int32)], np.ones(first, np.int64)
     bits = max(8, min(SLOT_BITS, len(seq).bit_length() + 1))
     salts, seed = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35), 0
     while len(seq) > 1:
         u = seq.view(np.uint32)
         slot = u[:-1] * np.uint32(salts[seed])
-        slot ^= slot >> np.uint32(15)
-        slot += u[1:]
-        slot *= np.uint32(salts[seed - 1])
+        slot += u[1:] * np.uint32(salts[seed - 1])
         slot >>= np.uint32(32 - bits)
-        slot = slot.view(np.int32)
-        slot[last[:-1]] = 0  # documents' ends share a slot that isn't looked at
+        slot = slot.astype(np.intp)
+        slot[stops[stops < len(slot)]] = 0  # documents' ends share a slot that isn't looked at
         count = np.bincount(slot, minlength=1 << bits)
         count[0] = 0
         top = int(count.max())
@@ -70,12 +66,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dic
         bound = max(least, top // STEP)
         hot = np.zeros(1 << bits, bool)
         hot[count >= bound] = True
-        at = np.flatnonzero(hot[slot])
-        where = slot[at]
-        holder = np.empty(1 << bits, np.int32)
+        at = np.flatnonzero(hot.take(slot))
+        where = slot.take(at)
+        holder = np.zeros(1 << bits, np.intp)
         holder[where[::-1]] = at[::-1]
-        lead = holder[where]
-        same = (seq[lead] == seq[at]) & (seq[lead + 1] == seq[at + 1])
+        same = (seq.take(holder).take(where) == seq.take(at)) & (seq.take(holder + 1).take(where) == seq.take(at + 1))
         at, where = at[same], where[same]
         exact = np.bincount(where, minlength=1 << bits)
         slots = np.flatnonzero(exact >= max(least, bound // 2))
@@ -88,10 +83,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dic
         at, which = at[which >= 0], which[which >= 0]
         if len(at):
             run = np.concatenate([[True], np.diff(at) > 1])  # of overlapping pairs every second goes
-            n = np.arange(len(at), dtype=np.int32)
-            at_most = np.maximum.accumulate(np.where(run, n, 0))
-            pick = ((n - at_most) & 1) == 0
-            at, which = at[pick], which[pick]
+            if not run.all():
+                n = np.arange(len(at), dtype=np.int32)
+                pick = ((n - np.maximum.accumulate(np.where(run, n, 0))) & 1) == 0
+                at, which = at[pick], which[pick]
             used = np.bincount(which, minlength=len(slots)) >= 2
             renumber = (np.cumsum(used) - 1).astype(np.int32)
             good = used[which]
@@ -105,10 +100,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dic
         left.append(a), right.append(b)
         length = np.concatenate([length, length[a] + length[b]])
         seq[at] = base + which
-        last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last, base = seq[keep], last[keep], base + len(a)
+        stops = stops - np.searchsorted(at + 1, stops, "right")
+        seq, base = seq[keep], base + len(a)
     tokens = np.concatenate([[0], np.cumsum(length[seq])]) if len(seq) else np.zeros(1, np.int64)
     return {
         "first": first,
