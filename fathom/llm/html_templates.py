@@ -2,9 +2,15 @@
 
 Every element subtree of a page is hashed (tag, text and the hashes of its
 children, so attributes don't matter). Spark counts on how many pages of its host
-each hash occurs; subtrees on many pages of the host are template and are deleted
-from them, the largest first as their parts go with them. What is left becomes
-text: block elements end lines, scripts, styles and the like never count.
+each hash occurs; template subtrees are deleted from the pages, the largest first
+as their parts go with them. What is left becomes text: block elements end lines,
+scripts, styles and the like never count.
+
+A block with text outside the page's content (``article``, ``main``, ``head``) is
+template on ``MIN_PAGES`` pages of its host, however many the host has: sections of
+a site have navigation, footers and ads of their own. Everything else (single links
+and list items, which differing menus share, and what stands in the content) is
+template on ``MIN_PAGES`` pages that are also ``MIN_SHARE`` of the host's.
 
 Only hashes are shuffled for the counts. The template hashes of all hosts go to
 the tasks as one sorted array while there are at most ``BROADCAST_HASHES`` of them;
@@ -16,7 +22,8 @@ table parts and options end open ones of their kind.
 
 Defined results: null HTML gives null text, empty HTML ''; a page without a host
 (null, broken or relative URL) belongs to the host ''; pages repeat as often as
-their (url, html) rows are distinct, so repeated rows alone make no template;
+their (url, html) rows are distinct, so repeated rows alone make no template, nor does
+one page under several URLs of a large host; subtrees without text go uncounted;
 very deep or long pages are parsed whole, without recursion.
 """
 
@@ -36,7 +43,7 @@ from pyspark.sql import types as T
 from fathom.llm.shared import arrow_map, fresh_path, others, quoted
 from fathom.llm.urls import url_host
 
-#: A subtree is template on this many pages of a host and this share of them.
+#: A subtree is template on this many pages of a host and, unless it is a block outside the content, this share of them.
 MIN_PAGES, MIN_SHARE = 3, 0.3
 BROADCAST_HASHES = 1_000_000
 
@@ -46,6 +53,8 @@ _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fields
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = frozenset("table ul ol dl select div section article body html td th li nav aside main".split())
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_CONTENT = frozenset("article main head title".split())
+_ITEMS = frozenset("html body br hr li dt dd tr td th option".split())
 _SPACE = re.compile(r"\s+")
 
 
@@ -57,6 +66,8 @@ class Page:
         self.end: list[int] = []  # number of the first event after the element
         self.events: list[tuple[int, str | int]] = []  # (0, text), (1, element opens), (2, element closes)
         self.hash: list[int] = []
+        self.full: list[bool] = []  # has text
+        self.content: list[bool] = []  # is or stands in an element of _CONTENT
         self._parts: list[list[bytes]] = []
         stack: list[int] = []
         at = 0
@@ -94,9 +105,12 @@ class Page:
         self.events.append((0, text))
         if stack and (short := _SPACE.sub(" ", text).strip()):
             self._parts[stack[-1]].append(b"\1" + short.encode("utf-8", "surrogatepass"))
+            self.full[stack[-1]] = True
 
     def _open(self, name: str, stack: list[int]) -> None:
         self.events.append((1, len(self.tags)))
+        self.full.append(False)
+        self.content.append(name in _CONTENT or bool(stack) and self.content[stack[-1]])
         stack.append(len(self.tags))
         self.tags.append(name)
         self._parts.append([name.encode("utf-8", "surrogatepass")])
@@ -111,10 +125,11 @@ class Page:
         self.end[e] = len(self.events)
         if stack:
             self._parts[stack[-1]].append(b"\2" + raw)
+            self.full[stack[-1]] |= self.full[e]
         self._parts[e] = []
 
     def text(self, template: Callable[[int], bool]) -> tuple[str, int]:
-        """Text without the subtrees whose hash is template, and how many subtrees went."""
+        """Text without the subtrees whose hash is template, and how many subtrees with text went."""
         out, i, gone = [], 0, 0
         while i < len(self.events):
             kind, x = self.events[i]
@@ -122,7 +137,7 @@ class Page:
             if kind == 0:
                 out.append(_SPACE.sub(" ", x))
             elif kind == 1 and template(self.hash[x]):
-                i, gone = self.end[x], gone + 1
+                i, gone = self.end[x], gone + self.full[x]
                 if self.tags[x] in _BLOCK:
                     out.append("\n")
             elif self.tags[x] in _BLOCK:
@@ -137,25 +152,40 @@ _WHOLE = frozenset(("html", "body", "br", "hr"))
 
 def subtree_hashes(source: str | None) -> list[int]:
     """Distinct hashes of the page's subtrees."""
+    return _marked_hashes(source)[0]
+
+
+def _marked_hashes(source: str | None) -> tuple[list[int], list[bool]]:
+    """Distinct hashes of the page's subtrees, and of each whether it is a block with text outside the content."""
     if not source:
-        return []
+        return [], []
     p = Page(source)
-    return sorted({h for h, t in zip(p.hash, p.tags) if t not in _WHOLE})
+    found = sorted({h for h, t in zip(p.hash, p.tags) if t not in _WHOLE})
+    blocks = {h for h, t, full, content in zip(p.hash, p.tags, p.full, p.content) if full and not content and t in _BLOCK and t not in _ITEMS}
+    return found, [h in blocks for h in found]
 
 
 RESULT = ("text", "n_removed")
 
 
 def template_hashes(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of every template subtree. Shuffles hashes, eight bytes a subtree and page."""
-    src = pages.select(F.coalesce(url_host(F.col(quoted(url_col))), F.lit("")).alias("host"), F.xxhash64(F.col(quoted(url_col)), F.col(quoted(html_col))).alias("page"), F.col(quoted(html_col)).alias("html"))
-    field = T.StructField("hashes", T.ArrayType(T.LongType()))
-    hashed = arrow_map(src, ["html"], ["host", "page"], [field], lambda: lambda b: [pa.array([subtree_hashes(x) for x in b.column(0).to_pylist()], pa.list_(pa.int64()))])
+    """(host, hash) of every template subtree. Shuffles hashes, a row a subtree and page."""
+    src = pages.select(F.coalesce(url_host(F.col(quoted(url_col))), F.lit("")).alias("host"), F.xxhash64(F.col(quoted(url_col)), F.col(quoted(html_col))).alias("page"), F.xxhash64(F.col(quoted(html_col))).alias("source"), F.col(quoted(html_col)).alias("html"))
+    fields = [T.StructField("hash", T.ArrayType(T.LongType())), T.StructField("block", T.ArrayType(T.BooleanType()))]
+
+    def marked(b: pa.RecordBatch) -> list[pa.Array]:
+        made = [_marked_hashes(x) for x in b.column(0).to_pylist()]
+        return [pa.array([h for h, _ in made], pa.list_(pa.int64())), pa.array([k for _, k in made], pa.list_(pa.bool_()))]
+
+    hashed = arrow_map(src, ["html"], ["host", "page", "source"], fields, lambda: marked)
     # one row a page and hash; the null hash counts the pages of the host
-    rows = hashed.select("host", "page", F.explode(F.concat(F.col("hashes"), F.array(F.lit(None).cast("long")))).alias("hash")).distinct()
-    count = rows.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(f"n >= {int(min_pages)}")
+    whole = F.array(F.struct(F.lit(None).cast("long").alias("hash"), F.lit(False).alias("block")))
+    rows = hashed.select("host", "page", "source", F.explode(F.concat(F.arrays_zip("hash", "block"), whole)).alias("x")).select("host", "page", "source", "x.*").distinct()
+    block = F.when(F.col("block"), F.col("source"))
+    count = rows.groupBy("host", "hash").agg(F.count("*").alias("n"), F.count(block).alias("blocks"), (F.min(block) < F.max(block)).alias("differ")).filter(f"n >= {int(min_pages)}")
     total = count.filter("hash IS NULL").select("host", F.col("n").alias("pages"))
-    return count.filter("hash IS NOT NULL").join(total, "host").filter(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+    recurs = (F.col("blocks") >= int(min_pages)) & F.col("differ") | (F.col("n") >= F.col("pages") * min_share)
+    return count.filter("hash IS NOT NULL").join(total, "host").filter(recurs).select("host", "hash")
 
 
 def _mix(host: pa.Array) -> np.ndarray:

@@ -62,6 +62,24 @@ def test_templates(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_templates_of_a_large_host(spark):
+    """Blocks of a section go however large the host is; article text, also where it recurs, and copies of a page stay."""
+    plain = "<!DOCTYPE html><html><head><meta charset=utf-8><title>T{0}</title></head><body>{1}<article><h1>Title {2}</h1>{4}<p>Own text {0}</p></article>{3}</body></html>"
+    rows = []
+    for i in range(320):
+        k = i // 10
+        nav = f"<nav><ul><li><a href=/>Section {k}</a></li><li>Home</li></ul></nav><div class=ad>Buy {k}</div>" if k < 2 else f"<nav><ul><li>Only {i}</li><li>Shop {i // 4}</li></ul></nav>"
+        rows.append((i, f"http://a.example/{i}", plain.format(i, nav, i // 4, f"<footer>Footer {k}</footer>" if k < 2 else "", "<p>Often said.</p>" * (i % 8 == 0))))
+    rows += [(400 + i, f"http://a.example/copy{i}", "<div>A page under many names</div>") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (1000, 0):
+        got = {r.page_id: (r.text, r.n_removed) for r in extract(df, broadcast_hashes=most).collect()}
+        for i in range(320):
+            nav, often = "" if i < 20 else f"Only {i}\nShop {i // 4}\n", "Often said.\n" * (i % 8 == 0)
+            assert got[i] == (f"T{i}\n{nav}Title {i // 4}\n{often}Own text {i}", 3 if i < 20 else 0)
+        assert all(got[400 + i] == ("A page under many names", 0) for i in range(5))
+
+
 def test_query(spark):
     """Against counts in plain Python."""
     d = pd.read_parquet(f"{SF}/pages.parquet")
