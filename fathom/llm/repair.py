@@ -10,7 +10,10 @@ span of one, is decoded without touching the rest.
 A round takes all pairs above a 16th of the greatest count at once and resolves
 overlaps from the left; that keeps the number of passes near the logarithm of the
 greatest count. Counting is by hashing into a table, without a sort; pairs that
-lose their slot to another wait for the next round or the next hash.
+lose their slot to another wait for the next round or the next hash. At the end
+the pairs in slots that still hold enough are counted exactly, so that no pair
+(of different symbols, not too long) stays that occurs ``least`` times; by default
+that is where a rule, three numbers, begins to save space.
 
 Shards are formed in a task, of about ``SHARD_TOKENS``; there is no shuffle. A
 document longer than that is a shard by itself.
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 from fathom.llm.bpe import DEFAULT_VOCAB, BpeVocab, Encoder, _ragged, slices
 from fathom.llm.shared import quoted
 
-SHARD_TOKENS, LEAST_COUNT, SLOT_BITS = 2_000_000, 12, 18
+SHARD_TOKENS, LEAST_COUNT, SLOT_BITS = 2_000_000, 3, 20
 #: A round takes the pairs whose count is at least this part of the greatest.
 STEP = 16
 #: Rules reach only expansions up to this many tokens, which bounds the depth of decoding.
@@ -46,7 +49,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dic
     stops = np.unique(ends[ends > 0] - 1)  # symbols that end a document
     left, right, length = [np.empty(0, np.int32)], [np.empty(0, np.int32)], np.ones(first, np.int64)
     bits = max(8, min(SLOT_BITS, len(seq).bit_length() + 1))
-    salts, seed = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35), 0
+    salts, seed, exactly = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35), 0, False
     while len(seq) > 1:
         u = seq.view(np.uint32)
         slot = u[:-1] * np.uint32(salts[seed])
@@ -58,9 +61,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dic
         count[0] = 0
         top = int(count.max())
         if top < least:
-            if seed == len(salts) - 1:
+            break  # slots hold at least what their pairs do
+        if exactly:
+            at, which, a, b = _exact(seq, np.flatnonzero((count >= least).take(slot)), length, least)
+            if not len(at):
                 break
-            seed += 1  # pairs that shared a slot are told apart by the next hash
+            seq, stops, base, length = _replace(seq, stops, base, length, at, which, a, b, left, right)
             continue
         # slots with many pairs; the pair whose occurrence comes first there is taken if it alone is frequent
         bound = max(least, top // STEP)
@@ -81,29 +87,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dic
         number[slots] = np.arange(len(slots), dtype=np.int32)
         which = number[where]
         at, which = at[which >= 0], which[which >= 0]
-        if len(at):
-            run = np.concatenate([[True], np.diff(at) > 1])  # of overlapping pairs every second goes
-            if not run.all():
-                n = np.arange(len(at), dtype=np.int32)
-                pick = ((n - np.maximum.accumulate(np.where(run, n, 0))) & 1) == 0
-                at, which = at[pick], which[pick]
-            used = np.bincount(which, minlength=len(slots)) >= 2
-            renumber = (np.cumsum(used) - 1).astype(np.int32)
-            good = used[which]
-            at, which = at[good], renumber[which[good]]
+        at, which, used = _apart(at, which, len(slots), least)
         if not len(at):
-            if seed == len(salts) - 1:
-                break
-            seed += 1
+            exactly = seed == len(salts) - 1
+            seed = min(seed + 1, len(salts) - 1)  # pairs that shared a slot are told apart by the next hash
             continue
-        a, b = a[used], b[used]
-        left.append(a), right.append(b)
-        length = np.concatenate([length, length[a] + length[b]])
-        seq[at] = base + which
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        stops = stops - np.searchsorted(at + 1, stops, "right")
-        seq, base = seq[keep], base + len(a)
+        seq, stops, base, length = _replace(seq, stops, base, length, at, which, a[used], b[used], left, right)
     tokens = np.concatenate([[0], np.cumsum(length[seq])]) if len(seq) else np.zeros(1, np.int64)
     return {
         "first": first,
@@ -115,6 +104,43 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dic
     }
 
 
+def _apart(at: np.ndarray, which: np.ndarray, n_pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that don't overlap, their pairs renumbered, and which pairs keep enough places to be worth a rule."""
+    if not len(at):
+        return at, which, np.zeros(n_pairs, bool)
+    run = np.concatenate([[True], np.diff(at) > 1])  # of overlapping pairs every second goes
+    if not run.all():
+        n = np.arange(len(at), dtype=np.int32)
+        pick = ((n - np.maximum.accumulate(np.where(run, n, 0))) & 1) == 0
+        at, which = at[pick], which[pick]
+    used = np.bincount(which, minlength=n_pairs) >= min(least, 3)
+    renumber = (np.cumsum(used) - 1).astype(np.int32)
+    good = used[which]
+    return at[good], renumber[which[good]], used
+
+
+def _exact(seq: np.ndarray, at: np.ndarray, length: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs at these places those that occur ``least`` times: places, pair by place, lefts and rights."""
+    pair, which, count = np.unique((seq[at].astype(np.int64) << 32) | seq[at + 1], return_inverse=True, return_counts=True)
+    a, b = pair >> 32, pair & 0xFFFFFFFF
+    wanted = (count >= least) & (length[a] + length[b] <= LONGEST)
+    for few in (wanted, wanted & (a != b) & (np.arange(len(pair)) == np.argmax(np.where(wanted & (a != b), count, 0)))):  # overlaps may leave none; the most frequent alone has none
+        keep = few[which]
+        where, number, used = _apart(at[keep], (np.cumsum(few) - 1).astype(np.int32)[which[keep]], int(few.sum()), least)
+        if len(where):
+            break
+    return where, number, a[few][used].astype(np.int32), b[few][used].astype(np.int32)
+
+
+def _replace(seq, stops, base, length, at, which, a, b, left, right) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """The shard after the pairs (a, b) at these places became nonterminals, which are added to the rules."""
+    left.append(a), right.append(b)
+    seq[at] = base + which
+    keep = np.ones(len(seq), bool)
+    keep[at + 1] = False
+    return seq[keep], stops - np.searchsorted(at + 1, stops, "right"), base + len(a), np.concatenate([length, length[a] + length[b]])
+
+
 def expand(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The tokens of the symbols: the rules that occur are opened level by level, then all symbols looked up."""
     seq = np.asarray(symbols, np.int32)
@@ -167,20 +193,23 @@ def decode_span(shard: dict, doc: int, start: int = 0, stop: int | None = None)
 # -- on Spark ---------------------------------------------------------------
 
 _BINARY = {"left": "rule_left", "right": "rule_right", "length": "rule_length", "symbols": "symbols"}
+#: Numbers packed at a time, a multiple of 8 so that parts end with a byte.
+_PACK = 1 << 16
 
 
 def pack_ints(x: np.ndarray) -> bytes:
-    """Little-endian integers of the least whole number of bytes; the first byte tells it."""
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    raw = np.ascontiguousarray(x, "<i4").view(np.uint8).reshape(-1, 4)[:, :width]
-    return bytes([width]) + raw.tobytes()
+    """Integers of the least number of bits, high bit first; the first byte tells it, the second the unused bits at the end."""
+    width = max(1, int(x.max()).bit_length()) if len(x) else 1
+    parts = [np.packbits(np.unpackbits(np.ascontiguousarray(x[i : i + _PACK], ">i4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]).tobytes() for i in range(0, len(x), _PACK)]
+    return bytes([width, -len(x) * width % 8]) + b"".join(parts)
 
 
 def unpack_ints(raw: bytes) -> np.ndarray:
-    width = raw[0]
-    out = np.zeros(((len(raw) - 1) // width, 4), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
-    return out.view("<i4").ravel()
+    width, unused = raw[0], raw[1]
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8, offset=2))
+    out = np.zeros(((len(bits) - unused) // width, 32), np.uint8)
+    out[:, 32 - width :] = bits[: len(bits) - unused].reshape(-1, width)
+    return np.packbits(out, axis=1).view(">i4").ravel().astype(np.int32)
 
 
 def shard_of(row) -> dict:
