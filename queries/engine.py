@@ -91,6 +91,13 @@ def copy_csv_roundtrip(t, d):
     return e.query(f"SELECT * FROM '{d}/n.csv'")
 
 
+@query("SELECT n_name, CAST(n_regionkey AS BIGINT) AS r FROM nation")
+def copy_csv_roundtrip_whole(t, d):
+    e = connect(spark=t.spark)
+    e.sql(f"COPY (SELECT n_name, n_regionkey AS r FROM '{t.sf_dir}/nation.parquet') TO '{d}/n.csv' WITH (FORMAT CSV, HEADER TRUE)")
+    return e.query(f"SELECT * FROM '{d}/n.csv'")
+
+
 @query("SELECT r_name, CAST(r_regionkey AS BIGINT) AS k FROM region")
 def copy_json_roundtrip(t, d):
     sinks.write_json(t.region.select("r_name", C("r_regionkey").alias("k")), f"{d}/r.json")
@@ -151,6 +158,14 @@ def dml_merge(t, d):
     return e.table("tgt")
 
 
+@query("SELECT c_custkey AS k, CASE WHEN c_acctbal > 0 THEN 'merged' ELSE c_name END AS name FROM customer UNION ALL SELECT -1 - s_suppkey, 'merged' FROM supplier")
+def dml_merge_whole(t, d):
+    e = opened(t, customer="customer", supplier="supplier")
+    e.sql("CREATE TABLE tgt AS SELECT c_custkey AS k, c_name AS name FROM customer; CREATE TABLE src AS SELECT c_custkey AS k, 'merged' AS v FROM customer WHERE c_acctbal > 0 UNION ALL SELECT -1 - s_suppkey, 'merged' FROM supplier")
+    e.sql("MERGE INTO tgt USING src ON tgt.k = src.k WHEN MATCHED THEN UPDATE SET name = src.v WHEN NOT MATCHED THEN INSERT (k, name) VALUES (src.k, src.v)")
+    return e.table("tgt")
+
+
 @query("SELECT r_regionkey, r_name FROM region")
 def txn_rollback(t, d):
     e = opened(t, region="region")

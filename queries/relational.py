@@ -139,6 +139,15 @@ for _how in J.KINDS:
     ORACLE[f"join_{_how}"] = _join_sql(_how.upper())
 
 
+def _joined_whole(t, how):
+    return J.join(t.customer, t.orders, (C("c_custkey") == C("o_custkey")) & (C("c_acctbal") > 0) & (C("o_totalprice") > 1000), how).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+
+
+for _how in J.KINDS:  # all rows of both tables; customers in debt and their orders have no match
+    QUERIES[f"join_{_how}_whole"] = lambda spark, sf_dir, how=_how: _joined_whole(Tables(spark, sf_dir), how)
+    ORACLE[f"join_{_how}_whole"] = f"SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer {_how.upper()} JOIN orders ON c_custkey = o_custkey AND c_acctbal > 0 AND o_totalprice > 1000"
+
+
 @query("SELECT r_name, n_name FROM region, nation")
 def join_cross(t):
     return t.region.crossJoin(t.nation).select("r_name", "n_name")
@@ -345,6 +354,17 @@ def sort_expr_ordinal(t):
     return t.part.orderBy(O.desc(C("p_size") % 7), O.asc("p_name"), O.asc("p_partkey")).select("p_name", "p_size").limit(50)
 
 
+@query("SELECT k, v, ROW_NUMBER() OVER (ORDER BY v ASC NULLS LAST, k) AS place FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders)")
+def sort_nulls_whole(t):
+    rows = t.orders.select(C("o_orderkey").alias("k"), F.when(C("o_orderkey") % 3 != 0, C("o_totalprice")).alias("v"))
+    return rows.select("k", "v", F.row_number().over(W.over([], [O.asc("v"), O.asc("k")])).cast("bigint").alias("place"))
+
+
+@query("SELECT p_name, p_size FROM part ORDER BY p_size % 7 DESC, 1, p_partkey")
+def sort_expr_ordinal_whole(t):
+    return t.part.orderBy(O.desc(C("p_size") % 7), O.asc("p_name"), O.asc("p_partkey")).select("p_name", "p_size")
+
+
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")
 def limit_offset(t):
     return O.limit(t.orders.select("o_orderkey").orderBy("o_orderkey"), 10, 25)
@@ -369,6 +389,12 @@ for _name, _word, _f in (("union", "UNION", S.union), ("union_all", "UNION ALL",
 
     QUERIES[_name], ORACLE[_name] = _setop, f"{_A} {_word} {_B}"
 
+    def _setop_whole(spark, sf_dir, f=_f):
+        t = Tables(spark, sf_dir)
+        return f(t.orders.select(C("o_custkey").alias("k")), t.customer.select(C("c_custkey").alias("k")))
+
+    QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"] = _setop_whole, f"SELECT o_custkey AS k FROM orders {_word} SELECT c_custkey AS k FROM customer"
+
 
 @query("SELECT CAST(n_nationkey AS DOUBLE) AS x FROM nation UNION ALL SELECT c_acctbal FROM customer ORDER BY 1 DESC LIMIT 40")
 def setop_order_limit(t):
