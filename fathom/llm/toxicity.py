@@ -102,8 +102,8 @@ class Scorer:
             return 0.0
         x = self.logit[codes]
         order = np.argsort(codes, kind="stable")
-        gap = np.diff(order)
-        x[order[1:][(codes[order[1:]] == codes[order[:-1]]) & (gap < WINDOW)]] = 0  # once a window
+        again = (codes[order[1:]] == codes[order[:-1]]) & (order[1:] // WINDOW == order[:-1] // WINDOW)
+        x[order[1:][again]] = 0  # once a window, as in training
         w = np.add.reduceat(x, np.arange(0, n, WINDOW)) / WINDOW
         if len(w) <= SEGMENT:
             m = -(-len(w) // EVERY)

@@ -40,6 +40,14 @@ def test_misspellings(halves):
     assert s.scores([long + " you idiot moron trash a scum that loser on clown is " + long])[0] > model.threshold > s.scores([long])[0]
 
 
+def test_one_insult_repeated(halves):
+    """A word counts once in every window, so repeating it through a long text scores like one window of it."""
+    model, _ = halves
+    s = Scorer(model)
+    once, long = s.scores(["idiot idiot idiot idiot", "idiot " * 400])
+    assert abs(once - long) < 1e-9
+
+
 def test_edges(spark):
     model = fit_from_labels(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")))
     df = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "...", 9), (4, "idiot moron scum", 9), (4, "idiot moron scum", 9), (None, "the and of", None)], "doc_id long, text string, Toxicity int")
