@@ -7,7 +7,7 @@ it is built-in string expressions: one pass, no shuffle, no Python.
 Line rules, in the order in which the reason is named (blank lines are kept as
 paragraph marks and don't count):
 
-* ``navigation``: two or more separators (``|``, ``»``, ``·``, ``•``, ``/ /``) or a bare bracketed link list;
+* ``navigation``: two or more separators (``|``, ``»``, ``·``, ``•``), or one at either end of the line;
 * ``boilerplate``: cookie, copyright, licence and subscription phrases;
 * ``symbols``: more than a tenth of the words carry marks such as ``###`` or ``!!``;
 * ``repetition``: four times the same word in a row;
@@ -45,7 +45,7 @@ SYMBOLS = r"[#$%&*!~^=+<>_]{2,}"
 
 
 #: Four equal words in a row, anywhere in a (lower-case) text.
-REPEATED = r"(?:^|[ \n])([^ \n]*) \1 \1 \1(?:[ \n]|$)"
+REPEATED = r"(?:^|[ \n])([^ \n]+) \1 \1 \1(?:[ \n]|$)"
 _PHRASES = ("all rights reserved", "licensed under", "is licensed", "creative commons", "general public license", "cookie", "privacy policy", "terms of ", "javascript", "sign up", "login", "log in", "subscribe to", "click here", "copyright ")
 
 

@@ -18,3 +18,11 @@ def test_rules(spark):
     assert got[3].clean_text is None and got[3].lost is None and got[4].clean_text == ""
     assert got[10].clean_text == GOOD and got[9].n_lines == 20000
     assert clean_lines(df.limit(0)).count() == 0
+
+
+def test_indented(spark):
+    """Blanks are not words, so an indented line does not repeat one; a repeated word behind blanks still does."""
+    text = "\n".join("    " * k + GOOD for k in range(1, 5))
+    got = {r.doc_id: r for r in clean_lines(spark.createDataFrame([(1, text), (2, text + "\n        go go go go.\n    go go go go now.")], "doc_id long, text string")).collect()}
+    assert got[1].kept and got[1].clean_text == text and got[1].n_dropped == 0
+    assert got[2].kept and got[2].n_dropped == 1
