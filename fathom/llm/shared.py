@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -15,11 +16,13 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a temporary folder is made
-    and set, so a cluster never ends up on machine-local storage.
+    Only where the setting is absent and everything runs on this machine (tests) a
+    temporary folder is made and set; a cluster without the setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fathom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -66,6 +69,14 @@ def others(columns: Sequence[str], taken: Sequence[str]) -> list[str]:
     return [c for c in columns if c.lower() not in low]
 
 
+def unused(columns: Sequence[str], name: str) -> str:
+    """``name``, made longer until no column is called so."""
+    low = {c.lower() for c in columns}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
