@@ -7,11 +7,15 @@ partition the windows still open are leftovers; the leftovers of all partitions
 are merged in a second phase by best fit, largest first, on their fills alone.
 
 Documents longer than a window are cut into full windows (emitted at once) and
-a rest, so every token of every document is packed exactly once.
+a rest, so every token of every document is packed exactly once. The pieces of
+open windows wait in the task (there are at most OPEN * capacity of them), so
+those of leftovers are known by themselves: only they meet the merged windows.
 
 Defined results: a null or non-positive length has no tokens and gives no row;
 a document of exactly the capacity fills one window; repeated rows are packed
-as separate pieces; ties between windows go to the one opened first.
+as separate pieces, told apart by ``row_id``; ties between windows go to the one
+opened first; an id column named as one of RESULT comes out with ``_in`` behind its
+name, other columns are no part of the result; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,20 +26,21 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.bpe import DEFAULT_VOCAB, BpeVocab, Encoder, slices
+from fathom.llm.bpe import DEFAULT_VOCAB, BpeVocab, Encoder, list_array, slices
 from fathom.llm.shared import arrow_map, others, quoted, written
 from pyspark.sql import types as T
 
 CAPACITY = 2048
 OPEN = 64
-#: Leftover windows merged in one task; there are at most OPEN from a partition.
+#: Leftover windows merged in one task; there are at most OPEN from a partition. All are merged, in as many tasks as it takes.
 GROUP = 200_000
 
-RESULT = ("window_id", "window_offset", "doc_start", "n_tokens")
+RESULT = ("row_id", "window_id", "window_offset", "doc_start", "n_tokens", "token_ids")
 
 
 class Packer:
@@ -79,47 +84,74 @@ def token_lengths(docs: DataFrame, vocab: str = DEFAULT_VOCAB, text_col: str = "
     return arrow_map(docs, [text_col], docs.columns if keep is None else keep, [T.StructField(out_col, T.IntegerType())], make)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", capacity: int = CAPACITY, most_open: int = OPEN, group: int = GROUP) -> DataFrame:
-    """Pieces: ``id_col``, window_id, window_offset (in the window), doc_start (in the document), n_tokens.
+def pack(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", ids_col: str | None = None, capacity: int = CAPACITY, most_open: int = OPEN, group: int = GROUP) -> DataFrame:
+    """Pieces: ``id_col``, row_id (of the input row), window_id, window_offset (in the window), doc_start (in the document), n_tokens.
 
-    Only ids and lengths pass through Python and are written once to the shared
-    folder, for the second phase must see the windows the first has made. The
-    second phase moves fills of leftover windows (OPEN a partition), in groups
-    of ``group``; its mapping is joined to the leftover pieces alone.
+    With ``ids_col`` the lengths are those of its lists and every piece has its
+    ``token_ids``. The pieces are written once to the shared folder, for the second
+    phase must see the windows the first has made; it moves the fills of leftover
+    windows (OPEN a partition), in groups of ``group``.
     """
     if capacity < 1 or most_open < 1:
         raise ValueError("capacity and most_open must be positive")
-    src = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(length_col)).cast("long").alias("n"))
+    src = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(ids_col)).cast("array<int>").alias("n") if ids_col else F.col(quoted(length_col)).cast("long").alias("n"))
     kind = src.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("win", "at", "doc_start", "n"))])
+    names = ["id", "row", "win", "at", "doc_start", "n", *(["token_ids"] if ids_col else []), "left"]
+    schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in names[1:6]), *([T.StructField("token_ids", T.ArrayType(T.IntegerType()))] if ids_col else []), T.StructField("left", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, base = Packer(capacity, most_open), TaskContext.get().partitionId() << 33
-        names = ["id", "win", "at", "doc_start", "n"]
+        part = TaskContext.get().partitionId()
+        packer, base = Packer(capacity, most_open), part << 33
         full = 1 << 32  # numbers of windows that one long document fills alone
+        row, done, waiting, kind, none = part << 40, [], {}, None, np.empty(0, np.int32)
+
+        def batch(pieces: list[tuple], left: bool) -> pa.RecordBatch:
+            cols = list(zip(*pieces)) or [()] * 7
+            made = [pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:6])]
+            if ids_col:
+                tokens = [none if t is None else t for t in cols[6]]
+                made.append(list_array(np.concatenate([none, *tokens]), np.fromiter(map(len, tokens), np.int64, len(tokens))))
+            return pa.RecordBatch.from_arrays([*made, pa.array([left] * len(pieces), pa.bool_())], names)
+
         for b in batches:
-            pick, win, at, begin, size = [], [], [], [], []
-            for i, n in enumerate(b.column(1).to_pylist()):
+            kind, lists = b.column(0).type, b.column(1)
+            keys = b.column(0).to_pylist()
+            if ids_col:
+                flat = np.asarray(lists.flatten(), np.int32)
+                sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
+                begin, sizes = (np.cumsum(sizes) - sizes).tolist(), sizes.tolist()
+            else:
+                sizes = lists.to_pylist()
+            for i, n in enumerate(sizes):
+                row += 1
                 if not n or n < 0:
                     continue
+                cut = (lambda a, e, o=begin[i]: flat[o + a : o + e].copy()) if ids_col else lambda a, e: None
                 start = 0
                 while n - start >= capacity:
-                    pick.append(i), win.append(base + full), at.append(0), begin.append(start), size.append(capacity)
+                    done.append((keys[i], row, base + full, 0, start, capacity, cut(start, start + capacity)))
                     full, start = full + 1, start + capacity
                 if n > start:
-                    number, offset, _ = packer.place(n - start)
-                    pick.append(i), win.append(base + number), at.append(offset), begin.append(start), size.append(n - start)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pick, pa.int64())), *(pa.array(x, pa.int64()) for x in (win, at, begin, size))], names)
-        left = [base + number for _, number in packer.open]
-        if left:  # marks: windows still open at the end
-            none = [None] * len(left)
-            yield pa.RecordBatch.from_arrays([pa.array(none, b.schema.field(0).type), pa.array(left, pa.int64()), pa.array([-1] * len(left)), pa.array(none, pa.int64()), pa.array([capacity - r for r, _ in packer.open], pa.int64())], names)
+                    number, offset, closed = packer.place(n - start)
+                    waiting.setdefault(number, []).append((keys[i], row, base + number, offset, start, n - start, cut(start, n)))
+                    if closed is not None:
+                        done += waiting.pop(closed)
+                    if offset + n - start == capacity:
+                        done += waiting.pop(number)
+                if len(done) >= 2000:
+                    yield batch(done, False)
+                    done = []
+        if done:
+            yield batch(done, False)
+        if waiting:
+            yield batch([p for w in waiting.values() for p in w], True)
+            # marks: the fills of the windows still open
+            yield batch([(None, None, base + number, -1, None, capacity - room, None) for room, number in packer.open], True)
 
     pieces = written(src.mapInArrow(run, schema), "packed")
-    marks, pieces = pieces.filter("at < 0").select("win", F.col("n").alias("fill")), pieces.filter("at >= 0")
-
-    count = marks.count()
-    groups = max(1, -(-count // group))
+    marks = pieces.filter("at < 0").select("win", F.col("n").alias("fill"))
+    left = pieces.filter("at >= 0 AND left")
+    groups = max(1, -(-marks.count() // group))
 
     def merge(_, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["fill", "win"], ascending=[False, True])
@@ -131,11 +163,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens",
         return pd.DataFrame({"win": pdf["win"], "into": into, "shift": shift})
 
     mapping = marks.groupBy(F.pmod(F.hash("win"), F.lit(groups)).alias("g")).applyInPandas(merge, "win long, into long, shift long")
-    out = pieces.join(mapping, "win", "left")
+    moved = left.join(mapping, "win").withColumns({"win": F.col("into"), "at": F.col("at") + F.col("shift")})
+    out = pieces.filter("NOT left").unionByName(moved.select(*pieces.columns))
     return out.select(
-        F.col("id").alias(id_col),
-        F.coalesce("into", "win").alias("window_id"),
-        (F.col("at") + F.coalesce("shift", F.lit(0))).cast("int").alias("window_offset"),
+        F.col("id").alias(id_col if others([id_col], RESULT) else f"{id_col}_in"),
+        F.col("row").alias("row_id"),
+        F.col("win").alias("window_id"),
+        F.col("at").cast("int").alias("window_offset"),
         F.col("doc_start").cast("int").alias("doc_start"),
         F.col("n").cast("int").alias("n_tokens"),
+        *(["token_ids"] if ids_col else []),
     )

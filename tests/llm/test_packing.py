@@ -68,7 +68,58 @@ def test_pack(spark):
     assert len(grouped) >= len(windows)
     twice = pack(spark.createDataFrame([(1, 60), (1, 60)], "doc_id long, n_tokens int"), capacity=100).collect()
     assert len(twice) == 2 and len({r.window_id for r in twice}) == 2
+    assert twice[0].row_id != twice[1].row_id
     assert pack(df.limit(0)).count() == 0
+    named = spark.createDataFrame([(7, 60)], "ROW_ID long, n_tokens int")
+    assert pack(named, id_col="ROW_ID").columns[0] == "ROW_ID_in" and pack(named, id_col="ROW_ID").first()[0] == 7
+
+
+def test_tokens(spark):
+    """With ids every piece has its own, and the windows are the same."""
+    rows = [(i, None if i % 50 == 3 else list(range(i, i + (i * 37) % 150))) for i in range(600)] + [(5001, list(range(250))), (5001, list(range(250, 500)))]
+    df = spark.createDataFrame(rows, "doc_id long, token_ids array<int>").repartition(5)
+    out = pack(df, ids_col="token_ids", capacity=100, most_open=4).collect()
+    got = defaultdict(list)
+    for r in sorted(out, key=lambda r: r.doc_start):
+        assert len(r.token_ids) == r.n_tokens
+        got[r.doc_id, r.row_id] += r.token_ids
+    assert sorted((d, t) for (d, _), t in got.items()) == sorted((d, t) for d, t in rows if t)
+    windows = defaultdict(int)
+    for r in out:
+        windows[r.window_id] += r.n_tokens
+    assert max(windows.values()) <= 100
+    plain = pack(df.selectExpr("doc_id", "size(token_ids) AS n_tokens"), capacity=100, most_open=4).drop("row_id", "doc_id").collect()
+    assert sorted(tuple(r) for r in plain) == sorted((r.window_id, r.window_offset, r.doc_start, r.n_tokens) for r in out)
+
+
+def test_partition_by_brute_force(spark):
+    """One partition's windows against the plain rule, leftovers merged largest first."""
+    sizes = [(i * 7919) % 97 + 1 for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens int").coalesce(1)
+    got = {r.doc_id: (r.window_id, r.window_offset) for r in pack(df, capacity=100, most_open=5).collect()}
+    placed = brute_place(sizes, 100, 5)
+    # the windows open at the end, by replaying the rule
+    windows = []
+    for (w, at), s in zip(placed, sizes):
+        if at == 0:
+            if len(windows) >= 5:
+                windows.remove(max(windows, key=lambda v: (v[1], -v[0])))
+            windows.append([w, 0])
+        v = next(v for v in windows if v[0] == w)
+        v[1] += s
+        if v[1] == 100:
+            windows.remove(v)
+    into = {}
+    merged = []
+    for w, n in sorted(windows, key=lambda v: (-v[1], v[0])):
+        fits = [m for m in merged if m[1] + n <= 100]
+        m = max(fits, key=lambda m: m[1]) if fits else None
+        if m is None:
+            m = [w, 0]
+            merged.append(m)
+        into[w] = (m[0], m[1])
+        m[1] += n
+    assert got == {i: (into.get(w, (w, 0))[0], at + into.get(w, (w, 0))[1]) for i, (w, at) in enumerate(placed)}
 
 
 def test_query(spark):
