@@ -19,7 +19,11 @@ Shards are formed in a task, of about ``SHARD_TOKENS``; there is no shuffle. A
 document longer than that is a shard by itself.
 
 Defined results: a null list is remembered as null, an empty one as empty; repeated
-rows are stored as they are; ids must lie in 0 .. 2**31-1.
+rows are stored as they are; ids may be any of 0 .. 2**31-1 (a shard with one of
+``DENSE`` or more numbers its ids anew and keeps the list of them); of pairs that
+overlap the left one is replaced, and of those of equal count the one met first
+gets the lower number; columns other than the two named are no part of the shards,
+whatever their names; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +45,16 @@ SHARD_TOKENS, LEAST_COUNT, SLOT_BITS = 2_000_000, 3, 20
 STEP = 16
 #: Rules reach only expansions up to this many tokens, which bounds the depth of decoding.
 LONGEST = 1 << 14
+#: Ids below this are symbols themselves.
+DENSE = 1 << 20
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dict:
     """Grammar of a shard: first nonterminal, left, right, length by rule, symbols, offsets by document."""
-    seq = ids.astype(np.int32)
+    seq, alphabet = ids.astype(np.int32), np.empty(0, np.int32)
+    if len(seq) and int(seq.max()) >= DENSE:
+        alphabet, seq = np.unique(seq, return_inverse=True)
+        seq = seq.astype(np.int32)
     base = first = int(seq.max()) + 1 if len(seq) else 0
     stops = np.unique(ends[ends > 0] - 1)  # symbols that end a document
     left, right, length = [np.empty(0, np.int32)], [np.empty(0, np.int32)], np.ones(first, np.int64)
@@ -100,6 +110,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dic
         "right": np.concatenate(right).astype(np.int32),
         "length": length[first:].astype(np.int32),
         "symbols": seq.astype(np.int32),
+        "alphabet": alphabet,
         "offsets": np.searchsorted(tokens, np.concatenate([[0], ends])).astype(np.int64),
     }
 
@@ -141,8 +152,13 @@ def _replace(seq, stops, base, length, at, which, a, b, left, right) -> tuple[np
     return seq[keep], stops - np.searchsorted(at + 1, stops, "right"), base + len(a), np.concatenate([length, length[a] + length[b]])
 
 
-def expand(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def expand(symbols: np.ndarray, g: dict) -> np.ndarray:
     """The tokens of the symbols: the rules that occur are opened level by level, then all symbols looked up."""
+    out = _expand(symbols, g["first"], np.asarray(g["left"]), np.asarray(g["right"]))
+    return np.asarray(g["alphabet"], np.int32)[out] if len(g["alphabet"]) else out
+
+
+def _expand(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     seq = np.asarray(symbols, np.int32)
     if len(seq) > 4 * len(left):
         rules = _open(np.arange(first, first + len(left)), first, left, right)
@@ -185,14 +201,14 @@ def decode_span(shard: dict, doc: int, start: int = 0, stop: int | None = None)
     if start >= stop:
         return np.empty(0, np.int32)
     a, b = int(np.searchsorted(end, start, "right")), int(np.searchsorted(end, stop, "left"))
-    got = expand(symbols[a : b + 1], first, np.asarray(shard["left"]), np.asarray(shard["right"]))
+    got = expand(symbols[a : b + 1], shard)
     skip = start - int(end[a] - length[a])
     return got[skip : skip + stop - start]
 
 
 # -- on Spark ---------------------------------------------------------------
 
-_BINARY = {"left": "rule_left", "right": "rule_right", "length": "rule_length", "symbols": "symbols"}
+_BINARY = {"left": "rule_left", "right": "rule_right", "length": "rule_length", "symbols": "symbols", "alphabet": "alphabet"}
 #: Numbers packed at a time, a multiple of 8 so that parts end with a byte.
 _PACK = 1 << 16
 
@@ -231,9 +247,9 @@ def _shards(batches: Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray
 
     def row(ids: list[pa.Array], valid: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         g = compress(flat, np.cumsum(counts), least)
-        same = bool(np.array_equal(expand(g["symbols"], g["first"], g["left"], g["right"]), flat))
+        same = bool(np.array_equal(expand(g["symbols"], g), flat))
         values = [[pa.concat_arrays(ids).to_pylist()], [np.flatnonzero(~valid).tolist()], [len(counts)], [len(flat)], [len(g["symbols"])], [len(g["left"])], [g["first"]], *([pack_ints(g[k])] for k in _BINARY), [g["offsets"].tolist()], [same]]
-        types = [pa.list_(id_type), pa.list_(pa.int32()), *[pa.int64()] * 4, pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.bool_()]
+        types = [pa.list_(id_type), pa.list_(pa.int32()), *[pa.int64()] * 4, pa.int32(), *[pa.binary()] * len(_BINARY), pa.list_(pa.int64()), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names)
 
     held: list[tuple] = []
