@@ -8,20 +8,23 @@ matrix and the rest is compacted by one column. Decoding gathers token bytes.
 
 Defined results: a null text gives null ids; an empty text gives an empty list.
 Repeated rows each give their own result; very long texts are cut like any
-other, and one pre-token longer than ``LONG`` bytes replaces all occurrences of
-its minimum-rank pair in one pass, which yields the same ids because a merge
-can only create pairs of a higher rank.
+other. A pre-token longer than ``LONG`` bytes would make a matrix as wide, so it is
+merged by the same rule with its pairs in a heap, in time that grows with its length
+times the logarithm. Output columns replace input columns of the same name, others
+stay; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -94,6 +97,7 @@ class BpeVocab:
 
     def _hash(self, keys: np.ndarray) -> None:
         """Tables keyed by multiplicative hashes; each takes one key a slot and leaves the rest to the next."""
+        self.keys = keys
         self.tables = []
         todo, ranks, rng = keys, np.arange(len(keys), dtype=np.int32), np.random.default_rng(7)
         bits = max(10, int(len(keys)).bit_length() + 1)
@@ -195,21 +199,32 @@ class BpeVocab:
             length = length - 1
 
     def _long(self, ids: np.ndarray) -> np.ndarray:
-        while len(ids) > 1:
-            rank = self.rank(ids[:-1], ids[1:])
-            best = rank.min()
-            if best == NONE:
-                break
-            at = np.flatnonzero(rank == best)
-            first = np.concatenate([[True], np.diff(at) > 1])  # in a run of overlapping pairs every second merges
-            run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - run) % 2 == 0]
-            ids = ids.copy()
-            ids[at] = self.merged[best]
-            gone = np.ones(len(ids), bool)
-            gone[at + 1] = False
-            ids = ids[gone]
-        return ids
+        """Leftmost pair of the least rank first, by a heap of (rank, place); places whose pair has changed are passed over."""
+        n = len(ids)
+        known = self.rank_of
+        cur, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        first = self.rank(ids[:-1], ids[1:])
+        heap = [(r, i) for i, r in enumerate(first.tolist()) if r != NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if cur[i] < 0 or j >= n or known.get((cur[i], cur[j])) != r:
+                continue
+            cur[i], cur[j] = int(self.merged[r]), -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (s := known.get((cur[i], cur[k]))) is not None:
+                    heapq.heappush(heap, (s, i))
+            if (h := before[i]) >= 0 and (s := known.get((cur[h], cur[i]))) is not None:
+                heapq.heappush(heap, (s, h))
+        out = np.array(cur, np.int32)
+        return out[out >= 0]
+
+    @functools.cached_property
+    def rank_of(self) -> dict[tuple[int, int], int]:
+        return {(int(k >> np.uint64(32)), int(k & np.uint64(0xFFFFFFFF))): i for i, k in enumerate(self.keys)}
 
     # -- decoding ---------------------------------------------------------
 

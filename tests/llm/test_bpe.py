@@ -1,5 +1,8 @@
 import base64
+import random
+import time
 
+import pandas as pd
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -7,6 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fathom.llm.bpe import DEFAULT_VOCAB, PATTERN, BpeVocab, Encoder, decode_bpe, encode_bpe
+from fathom.llm.queries import QUERIES
+from tests.llm.helpers import SF
 
 RANKS = DEFAULT_VOCAB.replace(".json", ".tiktoken")
 
@@ -23,7 +28,7 @@ def brute():
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-ODD = ["", " ", "a" * 3000, "ab" * 400 + "²Ⅷx 12\x1cz  \n\n q", "'s 'll it's\t\t y", "é" * 300, "日本語 text 🙂🙂", "x_y __init__ 3½", "　　a"]
+ODD = ["", " ", "a" * 3000, "".join(random.Random(4).choices("etaoinshrdlu", k=9000)), "ab" * 700 + "abc" * 300, "ab" * 400 + "²Ⅷx 12\x1cz  \n\n q", "'s 'll it's\t\t y", "é" * 300, "日本語 text 🙂🙂", "x_y __init__ 3½", "　　a"]
 
 
 def test_same_ids_as_public_library(vocab, brute):
@@ -67,3 +72,19 @@ def test_bad_ids(spark, vocab):
     df = spark.createDataFrame([(1, [999999])], "doc_id long, token_ids array<int>")
     with pytest.raises(Exception, match="outside the vocabulary"):
         decode_bpe(df, vocab).collect()
+
+
+def test_a_megabyte_without_a_blank(vocab):
+    text = "".join(random.Random(5).choices("etaoinshrdlu", k=1_000_000))
+    began = time.process_time()
+    flat, counts = Encoder(vocab).encode([text])
+    assert time.process_time() - began < 60 and vocab.decode_flat(flat)[0].tobytes().decode() == text
+
+
+def test_query(spark, brute):
+    """The ids of every document are those of the public library."""
+    got = {r.doc_id: r for r in QUERIES["op1_bpe"](spark, SF).collect()}
+    d = pd.read_parquet(f"{SF}/documents.parquet")
+    assert len(got) == len(d)
+    for i, text in zip(d.doc_id, d.text):
+        assert got[i].token_ids == brute.encode_ordinary(text) and got[i].n_tokens == len(got[i].token_ids) and got[i].round_trip
