@@ -7,7 +7,13 @@ The first four return the columns of ``documents``:
 * quality: failing lines go from the texts, documents that lose too much go;
 * near duplicates: one document of each group stays;
 * secrets: found spans are replaced by the name of the rule;
-* packing: (doc_id, window_id, window_offset, doc_start, n_tokens), the pieces of all documents.
+* packing: (doc_id, row_id, window_id, window_offset, doc_start, n_tokens, token_ids), the
+  pieces of all documents with their BPE ids; ``row_id`` tells rows apart that share a doc_id.
+
+Defined results: a null text isn't toxic but goes in the quality stage (``null``), as
+an empty one does (``empty``); rows that repeat id and text are copies, of which one
+stays; a null doc_id is kept as such; extra columns stay until packing; empty tables
+give an empty result, and labels without both classes reject nothing.
 
 No stage but quality and secrets can be written in SQL, so there is no oracle;
 the tests hold every stage against a plain version of it.
@@ -19,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import packing, quality, secrets, simhash, toxicity
+from fathom.llm.bpe import encode_bpe
 from fathom.llm.shared import written
 
 
@@ -41,7 +48,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_lengths(docs, keep=["doc_id"]))
+    return packing.pack(encode_bpe(docs, keep=["doc_id"]), ids_col="token_ids")
 
 
 STAGES = [
