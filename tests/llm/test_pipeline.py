@@ -2,7 +2,7 @@ import re
 
 import corpus_pipeline
 from fathom.llm import quality, secrets, toxicity
-from fathom.llm.packing import token_lengths
+from fathom.llm.bpe import encode_bpe
 from tests.llm.helpers import SF
 from tests.llm.test_packing import check
 
@@ -29,12 +29,14 @@ def test_stages(spark):
             assert not re.search(rule.pattern, r.text, re.ASCII), (i, rule)
     assert set(rows[4]) == set(rows[3])
     packed = corpus_pipeline.STAGES[4][1](spark, seen[4], SF).collect()
-    check(packed, {r.doc_id: r.n_tokens for r in token_lengths(seen[4], keep=["doc_id"]).collect()}, 2048)
+    ids = {r.doc_id: r.token_ids for r in encode_bpe(seen[4], keep=["doc_id"]).collect()}
+    check(packed, {i: len(t) for i, t in ids.items()}, 2048)
+    assert all(r.token_ids == ids[r.doc_id][r.doc_start : r.doc_start + r.n_tokens] for r in packed)
 
 
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
-    assert out.columns == ["doc_id", "window_id", "window_offset", "doc_start", "n_tokens"] and out.count() > 100
+    assert out.columns == ["doc_id", "row_id", "window_id", "window_offset", "doc_start", "n_tokens", "token_ids"] and out.count() > 100
 
 
 def test_odd_rows(spark, tmp_path):
