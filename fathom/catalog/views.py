@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.streaming.tail import last_line_end, lines
+
 
 @dataclass
 class LiveView:
@@ -32,31 +34,15 @@ class LiveView:
         with open(self.file, "rb") as f:
             return os.path.getsize(self.file), f.read(64)
 
-    def _whole_lines(self) -> int:
-        with open(self.file, "rb") as f:
-            size = f.seek(0, os.SEEK_END)
-            at = size
-            while at > self.done:
-                step = min(1 << 16, at)
-                f.seek(at - step)
-                i = f.read(step).rfind(b"\n")
-                if i >= 0:
-                    return at - step + i + 1
-                at -= step
-            return self.done
-
     def current(self, spark: SparkSession) -> DataFrame:
         size, head = self._state()
         if self.frame is not None and (size, head) == (self.size, self.head):
             return self.frame
         grown = self.frame is not None and self.grows and size > self.size and head[: len(self.head)] == self.head and self.done > 0
         if grown:
-            end = self._whole_lines()
-            with open(self.file, "rb") as f:
-                f.seek(self.done)
-                lines = f.read(end - self.done).decode().splitlines()
-            if lines:
-                text = spark.createDataFrame([(x,) for x in lines], "value string")
+            end = last_line_end(self.file, self.done)
+            if end > self.done:
+                text = lines(spark, self.file, self.done, end)
                 ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.frame.schema)
                 new = text.select(F.from_csv("value", ddl, {"sep": self.delimiter, "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}).alias("r")).select("r.*")
                 self.frame = self.frame.unionAll(self.store(new))
@@ -64,6 +50,6 @@ class LiveView:
         else:
             self.frame = self.store(self.build())
             self.done, self.refreshes = 0, (self.refreshes[0] + 1, self.refreshes[1])
-            self.done = self._whole_lines()
+            self.done = last_line_end(self.file)
         self.size, self.head = size, head
         return self.frame

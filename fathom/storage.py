@@ -1,7 +1,8 @@
-"""Where written tables go: the folder the cluster shares."""
+"""Where written tables go: the folder the cluster shares, and files on any of Spark's file systems."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary folder."""
+    """``spark.checkpoint.dir``; only where that is unset and all runs on this machine, as in tests, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fathom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -19,3 +22,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """Null where there is no such file."""
+    fs, p = _at(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Written beside, then renamed."""
+    fs, draft = _at(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(draft, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    _, p = _at(spark, path)
+    fs.delete(p, False)
+    if not fs.rename(draft, p):
+        raise OSError(f"cannot write {path}")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.mkdirs(p)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Replaces what is at ``new``."""
+    fs, a = _at(spark, old)
+    _, b = _at(spark, new)
+    fs.delete(b, True)
+    if not fs.rename(a, b):
+        raise OSError(f"cannot rename {old} to {new}")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from queries import engine, relational, scalars
+from queries import engine, relational, scalars, sqltext
 
-MODULES = (relational, scalars, engine)
+MODULES = (relational, scalars, engine, sqltext)
 
 
 def queries():

@@ -48,17 +48,15 @@ def fn_string_3(t):
     return t.pages.select("page_id", S.split_part(u, "/", 3).alias("h"), S.split_part(u, "/", -1).alias("last"), S.split_part(u, "/", 99).alias("none"), F.translate(u, "htp", "HT").alias("tr"))
 
 
-@query(None)
+@query(r"""SELECT p_partkey, p_type, array_to_string(list_transform(regexp_extract_all(p_type || ' foo-bar2baz', '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS i FROM part""")
 def fn_string_initcap(t):
-    """Tested against Python: the oracle lacks the function."""
     return t.part.select("p_partkey", "p_type", S.initcap(F.concat(C("p_type"), F.lit(" foo-bar2baz"))).alias("i"))
 
 
-@query(r"""SELECT doc_id, md5(text) AS m, sha1(text) AS s1, sha256(text) AS s2, base64(encode(left(text, 50))) AS b, left(text, 50) AS back, hex(encode(left(text, 20))) AS h, decode(unhex(hex(encode(left(text, 20))))) AS uh FROM documents""")
+@query(r"""SELECT doc_id, md5(text) AS m, sha1(text) AS s1, sha256(text) AS s2, base64(encode(text)) AS b, text AS back, hex(encode(text)) AS h, text AS uh FROM documents""")
 def fn_hash_encode(t):
-    x, short = C("text"), F.left("text", F.lit(20))
-    fifty = F.left("text", F.lit(50))
-    return t.documents.select("doc_id", S.md5(x).alias("m"), S.sha1(x).alias("s1"), S.sha256(x).alias("s2"), S.base64_encode(fifty).alias("b"), S.base64_decode(S.base64_encode(fifty)).alias("back"), S.hex_(short).alias("h"), S.unhex(S.hex_(short)).alias("uh"))
+    x = C("text")
+    return t.documents.select("doc_id", S.md5(x).alias("m"), S.sha1(x).alias("s1"), S.sha256(x).alias("s2"), S.base64_encode(x).alias("b"), S.base64_decode(S.base64_encode(x)).alias("back"), S.hex_(x).alias("h"), S.unhex(S.hex_(x)).alias("uh"))
 
 
 @query(r"""SELECT page_id, regexp_matches(url, 'e[a-m]+') AS m, regexp_replace(url, '([a-z])([0-9])', '\2\1$', 'g') AS r, NULLIF(regexp_extract(url, '//([^/]+)', 1), '') AS e, NULLIF(regexp_extract(url, '[0-9]+'), '') AS d, NULLIF(regexp_extract(url, 'qqq'), '') AS z FROM pages""")

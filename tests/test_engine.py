@@ -1,3 +1,4 @@
+import hashlib
 import json
 import sqlite3
 import struct
@@ -54,6 +55,65 @@ def test_division_and_functions(db):
     assert rows(db, "SELECT COUNT(*) AS n FROM generate_series(1, 10, 3)") == [(4,)]
 
 
+def test_identifiers_and_places_of_tables(db, tmp_path):
+    """Type names are names; only a string in a table's place is a file."""
+    (tmp_path / "d.csv").write_text("doc_id,text,timestamp\n1,a,5\n2,b,6\n")
+    f = f"'{tmp_path}/d.csv'"
+    assert rows(db, f"SELECT doc_id, text, timestamp FROM {f} ORDER BY 1") == [(1, "a", 5), (2, "b", 6)]
+    assert db.sql("SELECT 1 AS text, 2 AS char, 3 AS timestamp").column_names == ["text", "char", "timestamp"]
+    assert rows(db, "SELECT TRIM(LEADING 'x' FROM 'xxab') AS t, EXTRACT(YEAR FROM DATE '2024-02-03') AS y, 'x.csv' AS tag") == [("ab", 2024, "x.csv")]
+    assert rows(db, "SELECT * FROM (VALUES (1, 'a'))") == [(1, "a")] and db.sql("SELECT * FROM (VALUES (1, 'a')) AS t").column_names == ["column0", "column1"]
+    assert rows(db, f"SELECT x.doc_id FROM ({f} x JOIN {f} y ON x.doc_id = y.doc_id), {f} z WHERE z.text = 'a' AND x.text IS DISTINCT FROM 'b'") == [(1,)]
+    assert rows(db, f"SELECT COUNT(*) AS n FROM {f} WHERE text IN ('a', 'b.csv')") == [(1,)]
+
+
+def test_arithmetic_rules(db):
+    """Overflow and zero divisors give NULL, integers divide to integers wherever they come from, casts round half to even."""
+    db.sql("CREATE OR REPLACE TABLE d AS SELECT * FROM (VALUES (7, 2, 7.0), (-7, 2, 1.0), (5, 0, 2.0)) AS v(a, b, c)")
+    assert rows(db, "SELECT q FROM (SELECT a / b AS q FROM d) ORDER BY q") == [(-3,), (3,), (None,)]
+    assert rows(db, "WITH t AS (SELECT a / b AS q FROM d) SELECT q / 2 AS h FROM t ORDER BY h") == [(-1,), (1,), (None,)]
+    assert rows(db, "SELECT a / b AS q, COUNT(*) AS n FROM d GROUP BY a / b ORDER BY q") == [(-3, 1), (3, 1), (None, 1)]
+    assert rows(db, "SELECT (SELECT MAX(a) / 2 FROM d) AS m, a / (SELECT MIN(b) + 2 FROM d) AS q FROM d ORDER BY a") == [(3, -3), (3, 2), (3, 3)]
+    assert rows(db, "SELECT 2147483647 + 1 AS o, 3000000 * 3000000 AS m, -2147483647 - 5 AS s, 5 % 0 AS z, ABS(CAST(-2147483648 AS INTEGER)) AS a, 7 / 2 / 2 AS q, 7 / 2.0 AS r") == [(None, None, None, None, None, 1, 3.5)]
+    assert rows(db, "SELECT CAST(2.5 AS INTEGER) AS a, 3.5::BIGINT AS b, CAST('12' AS INTEGER) AS c, CAST(a > 0 AS INTEGER) AS d, CAST(c / 2 AS INTEGER) AS e FROM d ORDER BY a, c, e") == [(2, 4, 12, 0, 0), (2, 4, 12, 1, 1), (2, 4, 12, 1, 4)]
+    assert rows(db, "SELECT CASE WHEN a > 0 THEN -1 + a * 2 - 1 ELSE -b END AS z FROM d ORDER BY z") == [(-2,), (8,), (12,)]
+    assert rows(db, "SELECT a FROM d ORDER BY a LIMIT 4 / 2 OFFSET 2 - 1") == [(5,), (7,)]
+    assert rows(db, "UPDATE d SET a = a / 2 WHERE b / 2 = 1") == [(2,)] and rows(db, "SELECT a FROM d ORDER BY a") == [(-3,), (3,), (5,)]
+
+
+def test_functions_by_name(db):
+    assert rows(db, "SELECT ISINF(1.0) AS i, ISFINITE(2.0) AS f, TRUNCATE(2.77, 1) AS t, INITCAP('foo-bar baz2qux') AS ic, SPLIT_PART('a,b', ',', 0) AS s0, SPLIT_PART('abc', '', 2) AS s1, HEX(-1) AS h, MILLENNIUM(DATE '2024-01-01') AS m") == [(False, True, 2.7, "Foo-Bar Baz2Qux", "", "b", "FFFFFFFF", 3)]
+    assert rows(db, "SELECT FORMAT_TIMESTAMP(TIMESTAMP '2024-05-06 01:02:03', '%Y-%m') AS f, DATE_FORMAT(DATE '2024-05-06', '%Y') AS g, LENGTH(CURTIME()) AS c, LOCALTIMESTAMP > TIMESTAMP '2020-01-01 00:00:00' AS l") == [("2024-05", "2024", 8, True)]
+    assert rows(db, "SELECT SHA512('x') AS s, SHA2_256('x') AS t") == [(hashlib.sha512(b"x").hexdigest(), hashlib.sha256(b"x").hexdigest())]
+    assert [str(v) for v in rows(db, "SELECT DATE_SUB(DATE '2024-03-01', 1) AS a, DATE_ADD('month', 1, DATE '2024-01-31') AS b, DATE_SUB('hour', 2, TIMESTAMP '2024-01-01 01:00:00') AS c")[0]] == ["2024-02-29", "2024-02-29", "2023-12-31 23:00:00"]
+    with pytest.raises(BindFailure):
+        db.sql("SELECT SQRT(1, 2)")
+
+
+def test_failing_changes(db):
+    """A change that fails changes nothing."""
+    db.sql("CREATE OR REPLACE TABLE k (id INTEGER PRIMARY KEY, name VARCHAR(3))")
+    db.sql("INSERT INTO k VALUES (1, 'a'); INSERT INTO k VALUES (2, 'b')")
+    for bad, kind in (("UPDATE k SET nope = 1", BindFailure), ("UPDATE k SET id = 7", ConstraintFailure), ("UPDATE k SET id = 2 WHERE id = 1", ConstraintFailure), ("UPDATE k SET name = 'long'", ConstraintFailure), ("INSERT INTO k (id, nope) VALUES (3, 'c')", BindFailure), ("INSERT INTO k VALUES (3, 'c'), (3, 'd')", ConstraintFailure), ("ALTER TABLE k DROP COLUMN nope", BindFailure)):
+        with pytest.raises(kind):
+            db.sql(bad)
+        assert rows(db, "SELECT * FROM k ORDER BY id") == [(1, "a"), (2, "b")], bad
+    parts = list(db.catalog.get("k").parts)
+    assert rows(db, "UPDATE k SET name = 'z' WHERE id = 2") == [(1,)] and db.catalog.get("k").parts[0] == parts[0]
+    assert rows(db, "DELETE FROM k WHERE id = 9") == [(0,)] and rows(db, "SELECT name FROM k ORDER BY id") == [("a",), ("z",)]
+    assert db.catalog.vacuum() > 0 and rows(db, "SELECT COUNT(*) AS n FROM k") == [(2,)]
+
+
+def test_merge_of_repeated_rows(db):
+    db.sql("CREATE OR REPLACE TABLE target (id INTEGER, val VARCHAR); INSERT INTO target VALUES (1, 'a'), (1, 'a'), (2, 'b')")
+    db.sql("CREATE OR REPLACE TABLE source (sid INTEGER, val VARCHAR); INSERT INTO source VALUES (1, 'new'), (3, 'c'), (3, 'c')")
+    assert rows(db, "MERGE INTO target USING source ON source.sid = target.id WHEN MATCHED THEN UPDATE SET val = source.val WHEN NOT MATCHED THEN INSERT (id, val) VALUES (source.sid, source.val)") == [(4,)]
+    assert rows(db, "SELECT * FROM target ORDER BY id, val") == [(1, "new"), (1, "new"), (2, "b"), (3, "c"), (3, "c")]
+    db.sql("INSERT INTO source VALUES (1, 'twice')")
+    with pytest.raises(ConstraintFailure):
+        db.sql("MERGE INTO target USING source ON target.id = source.sid WHEN MATCHED THEN UPDATE SET val = source.val")
+
+
 def test_dml(db):
     db.sql("CREATE OR REPLACE TABLE users (id INTEGER PRIMARY KEY, name VARCHAR(5) NOT NULL, score DOUBLE)")
     assert rows(db, "INSERT INTO users VALUES (1, 'a', 1.5), (2, 'b', NULL)") == [(2,)]
@@ -165,6 +225,41 @@ def test_persistence_udf_and_errors(spark, tmp_path):
     assert split_statements("a; 'x;y'; -- c;\n b") == ["a", "'x;y'", "-- c;\n b"]
 
 
+def test_extensions(db, monkeypatch):
+    import sys
+    import types
+
+    seen = []
+    monkeypatch.setitem(sys.modules, "some_extension", types.SimpleNamespace(register=lambda e: seen.append("on"), unregister=lambda e: seen.append("off")))
+    db.load_extension("some_extension")
+    assert list(db.extensions) == ["some_extension"]
+    db.unload_extension("some_extension")
+    assert seen == ["on", "off"] and not db.extensions
+    for bad in ("some_extension", "../x"):
+        with pytest.raises(CatalogFailure):
+            (db.unload_extension if bad == "some_extension" else db.load_extension)(bad)
+
+
+def test_copy_to_parts(db, tmp_path):
+    db.sql("CREATE OR REPLACE TABLE many AS SELECT generate_series AS k, 'a,\"b' AS s FROM generate_series(1, 1000)")
+    for ext in ("csv", "json", "parquet"):
+        assert rows(db, f"COPY many TO '{tmp_path}/out.{ext}/'") == [(1000,)]
+        assert rows(db, f"SELECT COUNT(*) AS n, SUM(k) AS k, MIN(s) AS s FROM '{tmp_path}/out.{ext}/*.{ext}'") == [(1000, 500500, 'a,"b')]
+
+
+def test_ranges_of_lines(spark, tmp_path):
+    """Every line is in one range, whatever the cuts; only line feeds end lines."""
+    from fathom.streaming.tail import last_line_end, lines_between, ranges
+
+    f = tmp_path / "x"
+    text = ["a", "", "long" * 50, "cut\u2028here\x0c and \x85 there", "z"]
+    f.write_text("\n".join(text) + "\r\nhalf", newline="")
+    end = last_line_end(str(f))
+    for size in (1, 3, 7, 1000):
+        assert [x for a, b in ranges(0, end, size) for x in lines_between(str(f), a, b, 0)] == text
+    assert last_line_end(str(tmp_path / "none")) == 0
+
+
 def test_tail(spark, tmp_path):
     from fathom.streaming.tail import tail_csv
 
