@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm import packing, quality, secrets, simhash, toxicity
 from fathom.llm.bpe import encode_bpe
-from fathom.llm.shared import written
+from fathom.llm.shared import scratch, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as made:  # what a stage wrote on its way goes with it
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            if last:
+                made.append(last)
+            last = next(p for p in made if f"/stage-{name}-" in p)
+            made.remove(last)
     return docs

@@ -17,7 +17,8 @@ reading. Matches themselves are never stored, only their SHA-256.
 Defined results: a null text is no blob and has no findings, an empty text is a
 blob without findings; repeated rows each get their findings; positions are in
 code points, ``end_pos`` exclusive, ``ordinal`` counts from 1 within the blob
-and rule. Output columns replace path columns of the same name.
+and rule. Output columns replace path columns of the same name; an empty table
+gives no finding.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.shared import arrow_map, fresh_path, others, path_exists, quoted, rename
+from fathom.llm.shared import arrow_map, delete_path, fresh_path, others, path_exists, quoted, rename
 
 
 @dataclass(frozen=True)
@@ -113,6 +114,7 @@ def update_ledger(docs: DataFrame, ledger_dir: str, rules: Sequence[Rule] = RULE
     scanned = f"{ledger_dir}/pending/{run}-scanned"
     todo.select(F.col(_BLOB).alias("blob"), F.col(_TODO).alias("rules")).write.parquet(scanned)
     rename(spark, scanned, f"{ledger_dir}/scanned/run={run}")
+    delete_path(spark, pending)
     return run
 
 

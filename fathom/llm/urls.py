@@ -9,18 +9,19 @@ exact for every key of the universe and needs no join.
 Keys are 128-bit hashes of normalised URLs. The cascade is built in shards by
 key hash (each of about SHARD_KEYS keys, so that no task holds more); a shard's
 levels are a few bits a listed key. All shards are broadcast where their size,
-known once they are written, is below BROADCAST_BYTES; beyond it the URLs are
-grouped by shard and each group meets its shard's levels.
+known once they are written, is below BROADCAST_BYTES; beyond it rows and levels
+meet by shard, where the rows stream past the levels, in SALTS tasks a shard.
 
 Defined results: a null URL has a null key and isn't listed; scheme, ``www.``,
 user, port, letter case of the host, query, fragment and a trailing ``/`` or
-``.html`` don't count; repeated URLs each get their verdict; an empty list lists
-nothing.
+``.html`` don't count (so all pages of a path share its verdict); repeated URLs each
+get their verdict; an empty list lists nothing, an empty table gives an empty one;
+columns named ``url_key`` or ``blocked`` are replaced, others stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,11 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.shared import arrow_map, byte_size, fresh_path, others, quoted
+from fathom.llm.shared import arrow_map, byte_size, fresh_path, others, quoted, unused
 
 BLOCKED_DOMAINS = ("spam-farm.example.org", "cheap-pills.example.com")
 SHARD_KEYS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+#: Tasks that share a shard's rows where the cascade is too large to broadcast.
+SALTS = 16
 FIRST_RATE, NEXT_RATE = 0.02, 0.5
 
 
@@ -160,16 +163,31 @@ def probe(df: DataFrame, key_col: str, cascade: str, shards: int, out_col: str =
 
         return arrow_map(keyed, ["__h1", "__h2", "__known"], rest, [T.StructField(out_col, T.BooleanType())], make)
 
-    keyed = keyed.withColumn("__shard", F.pmod("__h2", F.lit(shards)).cast("int"))
-    schema = T.StructType([*(keyed.schema[c] for c in rest), T.StructField(out_col, T.BooleanType())])
-
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, c = (np.asarray(left.column(n)).view(np.uint64) for n in ("__h1", "__h2"))
-        blob = right.column("levels")[0].as_py() if right.num_rows else b""
-        out = query_cascade(blob, a, c) & np.asarray(left.column("__known"))
-        return pa.table([*(left.column(n) for n in rest), pa.array(out)], [*rest, out_col])
-
-    return keyed.groupBy("__shard").cogroup(levels.groupBy("shard")).applyInArrow(both, schema)
+    # the levels travel to the rows of their shard and come first there; the rows stream past them
+    shard, salt, order, blob = (unused(keyed.columns, c) for c in ("__shard", "__salt", "__order", "__levels"))
+    rows = keyed.withColumns({shard: F.pmod("__h2", F.lit(shards)).cast("int"), salt: F.pmod(F.xxhash64(*[F.col(quoted(c)).cast("string") for c in rest] or [F.lit(0)]), F.lit(SALTS)).cast("int"), order: F.lit(1), blob: F.lit(None).cast("binary")})
+    copies = levels.select(F.col("shard").alias(shard), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt), F.lit(0).alias(order), F.col("levels").alias(blob))
+    both = rows.unionByName(copies, allowMissingColumns=True).select(*[F.col(quoted(c)) for c in rest], "__h1", "__h2", "__known", shard, salt, order, blob)
+    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), shard, salt).sortWithinPartitions(shard, salt, order)
+    schema = T.StructType([*(rows.schema[c] for c in rest), T.StructField(out_col, T.BooleanType())])
+    k = len(rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, b""
+        for b in batches:
+            where = np.asarray(b.column(k + 3)).astype(np.int64) * SALTS + np.asarray(b.column(k + 4))
+            first = np.asarray(b.column(k + 5)) == 0
+            cuts = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (first[1:] != first[:-1])])) if b.num_rows else []
+            for i, j in zip(cuts, [*cuts[1:], b.num_rows]):
+                if first[i]:
+                    now, held = where[i], b.column(k + 6)[int(i)].as_py()
+                    continue
+                part = b.slice(int(i), int(j - i))
+                a, c = (np.asarray(part.column(k + n)).view(np.uint64) for n in (0, 1))
+                out = query_cascade(held if now == where[i] else b"", a, c) & np.asarray(part.column(k + 2))
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(out)], schema.fieldNames())
+
+    return both.mapInArrow(run, schema)
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", domains: Sequence[str] = BLOCKED_DOMAINS, listed: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import re
 
 import corpus_pipeline
@@ -35,7 +36,10 @@ def test_stages(spark):
 
 
 def test_run(spark):
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
     out = corpus_pipeline.run(spark, SF)
+    left = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))) - before
+    assert len(left) == 1 and left.pop().startswith("stage-packing-")
     assert out.columns == ["doc_id", "row_id", "window_id", "window_offset", "doc_start", "n_tokens", "token_ids"] and out.count() > 100
 
 
