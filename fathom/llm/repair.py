@@ -7,13 +7,15 @@ A shard stores the rules (left, right), the number of tokens each expands to, th
 remaining symbols and the documents' offsets in them, so any document, or any
 span of one, is decoded without touching the rest.
 
-A round takes all pairs above a 16th of the greatest count at once and resolves
-overlaps from the left; that keeps the number of passes near the logarithm of the
-greatest count. Counting is by hashing into a table, without a sort; pairs that
-lose their slot to another wait for the next round or the next hash. At the end
-the pairs in slots that still hold enough are counted exactly, so that no pair
-(of different symbols, not too long) stays that occurs ``least`` times; by default
-that is where a rule, three numbers, begins to save space.
+A round takes all pairs above a bound at once and resolves overlaps from the left;
+the bound falls by ``STEP`` a round, so the number of passes is near the logarithm of
+the greatest count. Counting is by hashing into a table, without a sort; pairs that
+lose their slot to another wait for the next round, which hashes anew. At the end the
+pairs in slots that still hold enough are counted exactly, again and again, so that no
+pair (of different symbols, not too long) stays that occurs ``least`` times; by default
+that is where a rule, three numbers, begins to save space. After the first exact count
+only places beside new symbols and those that overlaps left out are counted, for no
+other pair can have become frequent.
 
 Shards are formed in a task, of about ``SHARD_TOKENS``; there is no shuffle. A
 document longer than that is a shard by itself.
@@ -41,8 +43,10 @@ from fathom.llm.bpe import DEFAULT_VOCAB, BpeVocab, Encoder, _ragged, slices
 from fathom.llm.shared import quoted
 
 SHARD_TOKENS, LEAST_COUNT, SLOT_BITS = 2_000_000, 3, 20
-#: A round takes the pairs whose count is at least this part of the greatest.
-STEP = 16
+#: The first round takes the pairs whose count is at least this part of the greatest, every next one goes as much lower.
+STEP = 3
+#: For hashing pairs.
+_SALTS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 #: Rules reach only expansions up to this many tokens, which bounds the depth of decoding.
 LONGEST = 1 << 14
 #: Ids below this are symbols themselves.
@@ -59,34 +63,25 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dic
     stops = np.unique(ends[ends > 0] - 1)  # symbols that end a document
     left, right, length = [np.empty(0, np.int32)], [np.empty(0, np.int32)], np.ones(first, np.int64)
     bits = max(8, min(SLOT_BITS, len(seq).bit_length() + 1))
-    salts, seed, exactly = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35), 0, False
+    bound, rounds, places = 0, 0, np.empty(0, np.intp)
     while len(seq) > 1:
-        u = seq.view(np.uint32)
-        slot = u[:-1] * np.uint32(salts[seed])
-        slot += u[1:] * np.uint32(salts[seed - 1])
-        slot >>= np.uint32(32 - bits)
-        slot = slot.astype(np.intp)
-        slot[stops[stops < len(slot)]] = 0  # documents' ends share a slot that isn't looked at
+        slot = _slots(seq, stops, bits, rounds)
         count = np.bincount(slot, minlength=1 << bits)
         count[0] = 0
         top = int(count.max())
         if top < least:
             break  # slots hold at least what their pairs do
-        if exactly:
-            at, which, a, b = _exact(seq, np.flatnonzero((count >= least).take(slot)), length, least)
-            if not len(at):
-                break
-            seq, stops, base, length = _replace(seq, stops, base, length, at, which, a, b, left, right)
-            continue
+        if bound == least:  # all were tried once: what is left is counted exactly
+            places = np.flatnonzero((count >= least).take(slot))
+            break
+        bound = max(least, (min(bound, top) if bound else top) // STEP)
         # slots with many pairs; the pair whose occurrence comes first there is taken if it alone is frequent
-        bound = max(least, top // STEP)
-        hot = np.zeros(1 << bits, bool)
-        hot[count >= bound] = True
-        at = np.flatnonzero(hot.take(slot))
+        at = np.flatnonzero((count >= bound).take(slot))
         where = slot.take(at)
-        holder = np.zeros(1 << bits, np.intp)
+        holder = np.zeros(1 << bits, np.int32)
         holder[where[::-1]] = at[::-1]
-        same = (seq.take(holder).take(where) == seq.take(at)) & (seq.take(holder + 1).take(where) == seq.take(at + 1))
+        mine = holder.take(where)
+        same = (seq.take(mine) == seq.take(at)) & (seq.take(mine + 1) == seq.take(at + 1))
         at, where = at[same], where[same]
         exact = np.bincount(where, minlength=1 << bits)
         slots = np.flatnonzero(exact >= max(least, bound // 2))
@@ -98,11 +93,19 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> dic
         which = number[where]
         at, which = at[which >= 0], which[which >= 0]
         at, which, used = _apart(at, which, len(slots), least)
+        rounds += 1
+        if len(at):
+            seq, stops, base, length = _replace(seq, stops, base, length, at, which, a[used], b[used], left, right)
+    # ``places`` has all occurrences of every pair that occurs ``least`` times: only new symbols make new ones
+    while len(places):
+        at, which, a, b, others = _exact(seq, places, length, least)
         if not len(at):
-            exactly = seed == len(salts) - 1
-            seed = min(seed + 1, len(salts) - 1)  # pairs that shared a slot are told apart by the next hash
-            continue
-        seq, stops, base, length = _replace(seq, stops, base, length, at, which, a[used], b[used], left, right)
+            break
+        seq, stops, base, length = _replace(seq, stops, base, length, at, which, a, b, left, right)
+        fresh = at - np.arange(len(at))  # where the new symbols are now
+        places = np.unique(np.concatenate([fresh - 1, fresh, others - np.searchsorted(at + 1, others, "right")]))
+        places = places[(places >= 0) & (places < len(seq) - 1)]
+        places = places[~np.isin(places, stops, assume_unique=True)]
     tokens = np.concatenate([[0], np.cumsum(length[seq])]) if len(seq) else np.zeros(1, np.int64)
     return {
         "first": first,
@@ -130,17 +133,37 @@ def _apart(at: np.ndarray, which: np.ndarray, n_pairs: int, least: int) -> tuple
     return at[good], renumber[which[good]], used
 
 
-def _exact(seq: np.ndarray, at: np.ndarray, length: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs at these places those that occur ``least`` times: places, pair by place, lefts and rights."""
+def _slots(seq: np.ndarray, stops: np.ndarray, bits: int, turn: int) -> np.ndarray:
+    """The hash of every pair of neighbours, another one each turn; pairs across a document's end are in slot 0."""
+    u = seq.view(np.uint32)
+    slot = u[:-1] * np.uint32(_SALTS[turn % len(_SALTS)])
+    slot += u[1:] * np.uint32(_SALTS[turn % len(_SALTS) - 1])
+    slot >>= np.uint32(32 - bits)
+    slot = np.maximum(slot, 1).astype(np.intp)
+    slot[stops[stops < len(slot)]] = 0
+    return slot
+
+
+def _exact(seq: np.ndarray, at: np.ndarray, length: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs at these places those that occur ``least`` times: places, pair by place, lefts and rights; and the places of such pairs that overlaps left out."""
     pair, which, count = np.unique((seq[at].astype(np.int64) << 32) | seq[at + 1], return_inverse=True, return_counts=True)
     a, b = pair >> 32, pair & 0xFFFFFFFF
     wanted = (count >= least) & (length[a] + length[b] <= LONGEST)
-    for few in (wanted, wanted & (a != b) & (np.arange(len(pair)) == np.argmax(np.where(wanted & (a != b), count, 0)))):  # overlaps may leave none; the most frequent alone has none
+    for few in (wanted, None):
+        if few is None:  # overlaps left none: of pairs that overlap only the more frequent, so the most frequent of all stays whole
+            few = wanted & (a != b)
+            own = which[few[which]]
+            order = np.lexsort((-np.arange(len(pair)), count))
+            place = np.empty(len(pair), np.int64)
+            place[order] = np.arange(len(pair))
+            beside = np.flatnonzero(np.diff(at[few[which]]) == 1)
+            x, y = own[beside], own[beside + 1]
+            few[np.where(place[x] < place[y], x, y)] = False
         keep = few[which]
         where, number, used = _apart(at[keep], (np.cumsum(few) - 1).astype(np.int32)[which[keep]], int(few.sum()), least)
         if len(where):
             break
-    return where, number, a[few][used].astype(np.int32), b[few][used].astype(np.int32)
+    return where, number, a[few][used].astype(np.int32), b[few][used].astype(np.int32), np.setdiff1d(at[wanted[which]], where, assume_unique=True)
 
 
 def _replace(seq, stops, base, length, at, which, a, b, left, right) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
