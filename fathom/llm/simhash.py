@@ -13,23 +13,32 @@ parent has already. A search adds up the differences on the way down and drops a
 whole group as soon as the sum exceeds the distance.
 
 At this distance an exact search of one index visits nearly every node (two
-fingerprints differ in half the bits of any prefix), so the work would be
-quadratic. Distinct fingerprints therefore meet under top nodes of several
-orders of the bits: a table is one order, its top nodes are the values of its first
-bits (``key_bits``), and a search starts with no difference there. ``RECALL`` is
-the least probability that two fingerprints at the greatest distance meet; it
-fixes the number of tables (20 up to ``GROUP_MOST << KEY_BITS`` = 4e9 distinct
-fingerprints, then slowly more; 48 at 5e10). What is shuffled is one row of 24 bytes
-a table and distinct fingerprint. A group of up to ``EXACT`` under one top node is
-searched exactly; a larger one is divided again the same way in the task's memory.
-
-Groups are cut by range, so that one which holds a large part of all rows is many
-tasks' work. A group cut by a border is put together again in a second pass; one of
-more than ``HOT`` fingerprints is ordered anew in several permutations, each cut by
-range into pieces that fit. A search reports not all pairs but a spanning forest of
-them, which is all the connected components need, so thousands of copies give
-thousands of edges. Components are found by large-star/small-star rounds on tables
-in the shared folder; only ids and fingerprints are shuffled.
+fingerprints differ in half the bits of any prefix), so fingerprints meet by blocks:
+the bits are cut into blocks, fewer and wider the more fingerprints there are, and
+any two within the distance are near in one of them (``blocks_for``), by the
+pigeonhole principle. In a block all rows near a value are compared with all that have
+it, whole groups at a time. No pair is left out, and about one of fifty pairs is
+compared with a million fingerprints, one of fifteen with 240 000. Fingerprints are
+dealt out to chunks of up to ``CHUNK``; a task is a block of two chunks, so its memory
+is bounded whatever the values; a dense group, whose rows share nearly all values, is
+compared with itself only until it is known to be connected. What is shuffled is a row
+of 25 bytes a fingerprint, block and chunk.
+
+With a ``recall`` below 1, on request only, distinct fingerprints meet under top nodes
+of several orders of the bits instead: a table is one order, its top nodes are the
+values of its first bits (``key_bits``), and a search starts with no difference there.
+It is the least probability that two fingerprints at the greatest distance meet; it
+fixes the number of tables (for ``RECALL`` 20 up to ``GROUP_MOST << KEY_BITS`` = 4e9
+distinct fingerprints, then slowly more; 48 at 5e10). A group of up to ``EXACT`` under
+one top node is searched exactly; a larger one is divided again the same way in the
+task's memory. Groups are cut by range; one cut by a border is put together again in
+a second pass; one of more than ``HOT`` fingerprints is ordered anew in several
+permutations, each cut by range into pieces that fit.
+
+A search reports not all pairs but a spanning forest of them, which is all the
+connected components need, so thousands of copies give thousands of edges. Components
+are found by large-star/small-star rounds on tables in the shared folder; only ids and
+fingerprints are shuffled.
 
 Defined results: a null text belongs to no group and is kept; texts without words
 (empty ones too) group only with equal texts; how often a word occurs doesn't count;
@@ -60,6 +69,8 @@ KEY_BITS, GROUP_MOST, EXACT, SMALL, INNER_RECALL = 10, 1 << 22, 4096, 128, 0.98
 #: Fingerprints of one group that a task holds.
 HOT = 1 << 23
 CACHE_WORDS = 300_000
+#: Fingerprints that meet in a task are this many at most of either side; rows that share a block's value on average; pairs compared at once; links kept until they are joined.
+CHUNK, VALUE_ROWS, PIECE, FOUND_MOST = 1 << 20, 16, 1 << 16, 1 << 20
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -281,6 +292,100 @@ def orders(bits: int, most: int, key_bits: int, recall: float, rng: np.random.Ge
     return out
 
 
+# -- exact meeting -------------------------------------------------------------
+
+
+def blocks_for(count: int, most: int = MAX_DISTANCE) -> list[tuple[int, int, int]]:
+    """Blocks of bits (first, number, greatest difference): any two within ``most`` bits are within the last in one of them.
+
+    The differences allowed and one more for each block add up to ``most`` and one, so two that
+    exceed them in all blocks differ in more than ``most``. Few fingerprints are one block of no bits.
+    """
+    if count <= EXACT:
+        return [(0, 0, 0)]
+    number = math.ceil(BITS / min(20, math.log2(count / VALUE_ROWS)))
+    cuts = [BITS * k // number for k in range(number + 1)]
+    low, more = divmod(most - number + 1, number)
+    wide = sorted(range(number), key=lambda k: cuts[k] - cuts[k + 1])[:more]  # the widest may differ in one more
+    out = [(cuts[k], cuts[k + 1] - cuts[k], low + (k in wide)) for k in range(number)]
+    return [b for b in out if b[2] >= 0]
+
+
+def _block(x: np.ndarray, first: int, number: int) -> np.ndarray:
+    """These bits of every row as a number."""
+    if not number:
+        return np.zeros(len(x), np.int64)
+    shift, half = BITS - first - number, np.uint64((1 << number) - 1)
+    if shift >= 64:
+        return (x[:, 0] >> np.uint64(shift - 64) & half).astype(np.int64)
+    low = x[:, 1] >> np.uint64(shift)
+    if shift + number > 64:
+        low = low | x[:, 0] << np.uint64(64 - shift)
+    return (low & half).astype(np.int64)
+
+
+def links(x: np.ndarray, y: np.ndarray | None, block: tuple[int, int, int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of all pairs (of ``x``, or of one in ``x`` and one in ``y``) that meet in the block and are within ``most`` bits.
+
+    Rows of ``y`` are numbered after those of ``x``. All rows whose block is near a value are compared
+    with all that have the value; what is known to be connected isn't compared again where it abounds.
+    """
+    first, number, differ = block
+    z = x if y is None else np.concatenate([x, y])
+    key, rank = _block(z, first, number), gray_rank(z)
+    order = np.lexsort((rank[:, 1], rank[:, 0], key))
+    del rank
+    labels = _Labels(len(z))
+    near = np.bitwise_count(z[order[1:]] ^ z[order[:-1]]).sum(1) <= most  # neighbours in Gray order first: of a dense group most become one at once
+    labels.join(order[1:][near], order[:-1][near])
+    mine, theirs = (order, order) if y is None else (order[order < len(x)], order[order >= len(x)])
+    a0, a1, b0, b1 = z[mine, 0], z[mine, 1], z[theirs, 0], z[theirs, 1]
+    masks = np.flatnonzero(np.bitwise_count(np.arange(1 << number)) <= differ)
+    begin = np.searchsorted(key[theirs], np.arange((1 << number) + 1))
+    values, at = np.unique(key[mine], return_index=True)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    xor, count, more = np.empty(PIECE, np.uint64), np.empty(PIECE, np.uint8), np.empty(PIECE, np.uint8)
+    for v, i, j in zip(values.tolist(), at.tolist(), [*at[1:].tolist(), len(mine)]):
+        w = v ^ masks
+        if y is None:
+            w = w[w >= v]
+        lo, n = begin[w], begin[w + 1] - begin[w]
+        end = np.cumsum(n)
+        if not end[-1]:
+            continue
+        meet, own = np.arange(end[-1]) + np.repeat(lo - (end - n), n), np.arange(i, j)
+        todo = [(own, meet)]
+        if len(own) * len(meet) > PIECE * 4:
+            of, of_own = labels.of[theirs[meet]], labels.of[mine[own]]
+            label, times = np.unique(of, return_counts=True)
+            if times.max() > len(meet) // 8:
+                same = label[times.argmax()]
+                todo = [(own[of_own == same], meet[of != same]), (own[of_own != same], meet)]
+        for own, meet in todo:
+            for k in range(0, len(meet), PIECE):
+                part = meet[k : k + PIECE]
+                c0, c1 = b0[part], b1[part]
+                step = PIECE // len(part)
+                for r in range(0, len(own), step):
+                    q = own[r : r + step]
+                    shape, size = (len(q), len(part)), len(q) * len(part)
+                    u, c, d = xor[:size].reshape(shape), count[:size].reshape(shape), more[:size].reshape(shape)
+                    np.bitwise_count(np.bitwise_xor(a0[q][:, None], c0, out=u), out=c)
+                    np.bitwise_count(np.bitwise_xor(a1[q][:, None], c1, out=u), out=d)
+                    c += d
+                    hit = np.flatnonzero(count[:size] <= most)
+                    if len(hit):
+                        found.append((mine[q[hit // len(part)]], theirs[part[hit % len(part)]]))
+                        held += len(hit)
+                        if held > FOUND_MOST:
+                            labels.join(*map(np.concatenate, zip(*found)))
+                            found, held = [], 0
+    if found:
+        labels.join(*map(np.concatenate, zip(*found)))
+    return labels.edges()
+
+
 # -- on Spark ---------------------------------------------------------------
 
 
@@ -362,8 +467,73 @@ def _search_sorted(most: int, exact: int, hot: int, by_range: bool):
     return run
 
 
-def near_edges(distinct: DataFrame, count: int, most: int = MAX_DISTANCE, recall: float = RECALL, exact: int = EXACT, hot: int = HOT) -> DataFrame:
-    """Edges (a, b) of fingerprints, column ``fp`` of ``distinct``, whose components are those of the near pairs."""
+def _fp(x: np.ndarray) -> pa.Array:
+    raw = pa.py_buffer(x.astype(">u8").tobytes())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(x), [None, raw]).cast(pa.binary())
+
+
+def near_edges(distinct: DataFrame, count: int, most: int = MAX_DISTANCE, recall: float = 1.0, exact: int = EXACT, hot: int = HOT) -> DataFrame:
+    """Edges (a, b) of fingerprints, column ``fp`` of ``distinct``, whose components are those of the near pairs.
+
+    All of them; with a ``recall`` below 1 those that the tables find.
+    """
+    if recall < 1:
+        return _table_edges(distinct, count, most, recall, exact, hot)
+    chunks = max(1, math.ceil(count / min(hot, CHUNK)))
+    blocks = blocks_for(math.ceil(count / chunks), most)
+    number = chunks * (chunks + 1) // 2 * len(blocks)
+    parts = min(number, 10_000)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every fingerprint to all pairs of chunks that its own is in, once for each block."""
+        every = np.arange(chunks)
+        for b in batches:
+            x = as_words(_raw(b.column(0)))
+            own = (pair_hashes(x[:, 0], x[:, 1]) % np.uint64(chunks)).astype(np.int64)
+            for other in every:
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                pair = (high * (high + 1) // 2 + low) * len(blocks)
+                for k in range(len(blocks)):
+                    yield pa.RecordBatch.from_arrays([pa.array(pair + k), pa.array(own == high), *map(pa.array, x.view(np.int64).T.copy())], ["key", "late", "hi", "lo"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, b in _by_key(batches):
+            z = np.stack([np.asarray(b.column("hi")), np.asarray(b.column("lo"))], 1).view(np.uint64)
+            late, pair = np.asarray(b.column("late")), key // len(blocks)
+            high = (math.isqrt(8 * pair + 1) - 1) // 2
+            del b
+            if pair - high * (high + 1) // 2 < high:
+                z = np.concatenate([z[~late], z[late]])
+                a, b = links(z[: len(z) - late.sum()], z[len(z) - late.sum() :], blocks[key % len(blocks)], most)
+            else:
+                a, b = links(z, None, blocks[key % len(blocks)], most)
+            for i in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([_fp(z[a[i : i + 100_000]]), _fp(z[b[i : i + 100_000]])], ["a", "b"])
+
+    keyed = distinct.select("fp").mapInArrow(spread, "key long, late boolean, hi long, lo long")
+    met = keyed.repartitionById(parts, F.pmod("key", F.lit(parts)).cast("int")).sortWithinPartitions("key")
+    return met.mapInArrow(meet, "a binary, b binary").distinct()
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Whole groups of rows sorted by key."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        key = np.asarray(b.column("key"))
+        for i, j in zip(cut := [0, *(np.flatnonzero(np.diff(key)) + 1).tolist()], [*cut[1:], len(key)]):
+            if i < j:
+                if key[i] != now and held:
+                    yield now, pa.Table.from_batches(held)
+                    held = []
+                now = int(key[i])
+                held.append(b.slice(i, j - i))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _table_edges(distinct: DataFrame, count: int, most: int, recall: float, exact: int, hot: int) -> DataFrame:
+    """Edges found in a number of tables fixed by ``recall``: two at the greatest distance meet with that probability."""
     samples = tables_for(count, most, recall)
     spark = distinct.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -442,7 +612,7 @@ def _grouped(fps: DataFrame, id_col: str, most: int, recall: float) -> DataFrame
     return fps.join(roots, fps["fp"] == roots["node"], "left").withColumn("__root", F.coalesce("root", "fp")).drop("node", "root")
 
 
-def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DISTANCE, recall: float = RECALL) -> DataFrame:
+def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DISTANCE, recall: float = 1.0) -> DataFrame:
     """One row a document: id, ``fp`` (hex), ``group_id`` (least id of its group), ``n_copies`` (rows of the group), ``kept``."""
     key = F.col(quoted(id_col)).alias("__id")
     fps = written(fingerprints(docs.select(key, F.col(quoted(text_col)).alias("__text")), "__text", ["__id"]), "fingerprints")
@@ -459,7 +629,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.unionAll(rest)
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DISTANCE, recall: float = RECALL) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DISTANCE, recall: float = 1.0) -> DataFrame:
     """``docs`` without the copies: of each group the row of the least id stays, columns as they were.
 
     Rows are told apart by id and a hash of the text, so what is joined to the

@@ -151,6 +151,45 @@ def test_hot_groups_are_cut_by_range(spark):
         assert want <= len(set(groups(len(x), edges))) <= want + 3
 
 
+def test_no_pair_is_lost(spark):
+    """Every pair at the greatest distance is linked, in one chunk and across chunks, and nothing else."""
+    rng = np.random.default_rng(11)
+    bits = rng.random((3000, 128)) < 0.5
+    raw = np.packbits(np.concatenate([bits, bits ^ rng.permuted(np.tile(np.arange(128) < MAX_DISTANCE, (3000, 1)), axis=1)]), axis=1)
+    raw = np.concatenate([raw, clusters(5, 1000, 9)])
+    number = {bytes(r): i for i, r in enumerate(raw)}
+    x = as_words(raw)
+    want = groups(len(x), brute_pairs(x, np.zeros(len(x)), MAX_DISTANCE))
+    assert all(want[i] == want[i + 3000] for i in range(3000))
+    df = spark.createDataFrame([(bytes(r),) for r in raw], "fp binary")
+    for hot in (1 << 23, 2500):
+        edges = [(number[bytes(r.a)], number[bytes(r.b)]) for r in near_edges(df, len(raw), hot=hot).collect()]
+        assert all(np.bitwise_count(x[i] ^ x[j]).sum() <= MAX_DISTANCE for i, j in edges) and groups(len(x), edges) == want
+    some = [(number[bytes(r.a)], number[bytes(r.b)]) for r in near_edges(df, len(raw), recall=simhash.RECALL).collect()]
+    assert len(set(groups(len(x), some)) - set(want)) < 0.1 * 3000  # the tables, on request
+
+
+def test_blocks(monkeypatch):
+    """Blocks cover the bits, the differences allowed leave none out; dense groups lose nothing where known links are passed over."""
+    for n in (10, 5000, 10**5, 10**6):
+        for most in (0, 3, 9, MAX_DISTANCE):
+            blocks = simhash.blocks_for(n, most)
+            assert sum(d + 1 for _, _, d in blocks) == (most + 1 if n > simhash.EXACT else 1)
+            if most == MAX_DISTANCE and n > simhash.EXACT:
+                assert [k for first, number, _ in blocks for k in range(first, first + number)] == list(range(128))
+    raw = np.random.default_rng(7).permutation(clusters(6, 5000, 8))
+    x, cut = as_words(raw), 2000
+    want = groups(len(x), brute_pairs(x, np.zeros(len(x)), MAX_DISTANCE))
+    monkeypatch.setattr(simhash, "PIECE", 64)
+    monkeypatch.setattr(simhash, "FOUND_MOST", 500)
+    whole, parted = [], []
+    for block in simhash.blocks_for(len(x)):
+        whole += zip(*simhash.links(x, None, block, MAX_DISTANCE))
+        for shift, part in ((0, (x[:cut], None)), (cut, (x[cut:], None)), (0, (x[:cut], x[cut:]))):
+            parted += [(i + shift, j + shift) for i, j in zip(*simhash.links(*part, block, MAX_DISTANCE))]
+    assert groups(len(x), whole) == want == groups(len(x), parted)
+
+
 def test_edges(spark):
     base = " ".join(f"word{i}{chr(97 + i % 26)}" for i in range(200))
     near = base.replace("word7h", "changed")
