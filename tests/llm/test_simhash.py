@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import struct
 from collections import defaultdict
@@ -190,6 +191,19 @@ def test_blocks(monkeypatch):
     assert groups(len(x), whole) == want == groups(len(x), parted)
 
 
+def test_few_pairs_are_compared(monkeypatch):
+    """The share of random pairs that meet in blocks falls as the fingerprints grow, and a dense group isn't compared with itself again and again."""
+    share = {n: sum(math.comb(w, k) / 2**w for _, w, d in simhash.blocks_for(n) for k in range(d + 1)) for n in (10**5, 10**6, 10**7)}
+    assert share[10**5] < 0.12 and share[10**6] < 0.035 and share[10**7] < 0.015
+    bits = np.random.default_rng(8).random((20000, 128)) < 3 / 128
+    x = as_words(np.unique(np.packbits(bits, axis=1), axis=0))
+    compared, xor = [], np.bitwise_xor
+    monkeypatch.setattr(np, "bitwise_xor", lambda a, b, out: compared.append(out.size) or xor(a, b, out=out))
+    for block in simhash.blocks_for(len(x)):
+        simhash.links(x, None, block, MAX_DISTANCE)
+    assert sum(compared) < 0.5 * len(x) ** 2 / 2
+
+
 def test_edges(spark):
     base = " ".join(f"word{i}{chr(97 + i % 26)}" for i in range(200))
     near = base.replace("word7h", "changed")
