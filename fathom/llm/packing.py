@@ -39,6 +39,8 @@ CAPACITY = 2048
 OPEN = 64
 #: Leftover windows merged in one task; there are at most OPEN from a partition. All are merged, in as many tasks as it takes.
 GROUP = 200_000
+#: Characters encoded at once, and tokens of pieces written at once, which bound a worker's memory.
+TEXT_MOST, TOKENS_MOST = 1_000_000, 1_000_000
 
 RESULT = ("row_id", "window_id", "window_offset", "doc_start", "n_tokens", "token_ids")
 
@@ -84,21 +86,42 @@ def token_lengths(docs: DataFrame, vocab: str = DEFAULT_VOCAB, text_col: str = "
     return arrow_map(docs, [text_col], docs.columns if keep is None else keep, [T.StructField(out_col, T.IntegerType())], make)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", ids_col: str | None = None, capacity: int = CAPACITY, most_open: int = OPEN, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", ids_col: str | None = None, capacity: int = CAPACITY, most_open: int = OPEN, group: int = GROUP, text_col: str | None = None, vocab: str = DEFAULT_VOCAB) -> DataFrame:
     """Pieces: ``id_col``, row_id (of the input row), window_id, window_offset (in the window), doc_start (in the document), n_tokens.
 
     With ``ids_col`` the lengths are those of its lists and every piece has its
-    ``token_ids``. The pieces are written once to the shared folder, for the second
-    phase must see the windows the first has made; it moves the fills of leftover
-    windows (OPEN a partition), in groups of ``group``.
+    ``token_ids``; with ``text_col`` the lists are the BPE ids of its texts, made in the
+    same worker, a few texts at a time, so that they are never held as a column. The
+    pieces are written once to the shared folder, for the second phase must see the
+    windows the first has made; it moves the fills of leftover windows (OPEN a
+    partition), in groups of ``group``.
     """
     if capacity < 1 or most_open < 1:
         raise ValueError("capacity and most_open must be positive")
-    src = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(ids_col)).cast("array<int>").alias("n") if ids_col else F.col(quoted(length_col)).cast("long").alias("n"))
+    if text_col:
+        ids_col, size, held = "token_ids", F.col(quoted(text_col)), docs.sparkSession.sparkContext.broadcast(BpeVocab.from_file(vocab))
+    else:
+        size, held = F.col(quoted(ids_col)).cast("array<int>") if ids_col else F.col(quoted(length_col)).cast("long"), None
+    src = docs.select(F.col(quoted(id_col)).alias("id"), size.alias("n"))
     kind = src.schema["id"].dataType
     names = ["id", "row", "win", "at", "doc_start", "n", *(["token_ids"] if ids_col else []), "left"]
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in names[1:6]), *([T.StructField("token_ids", T.ArrayType(T.IntegerType()))] if ids_col else []), T.StructField("left", T.BooleanType())])
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list, np.ndarray | None]]:
+        """Ids, their lengths and their tokens, one after another."""
+        enc = Encoder(held.value) if held else None
+        for b in batches:
+            keys, lists = b.column(0), b.column(1)
+            if enc:
+                texts = lists.cast(pa.string())
+                for i, j in slices(texts, TEXT_MOST):
+                    flat, sizes = enc.encode(texts.slice(i, j - i).to_pylist())
+                    yield keys.slice(i, j - i), sizes.tolist(), flat
+            elif ids_col:
+                yield keys, pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_pylist(), np.asarray(lists.flatten(), np.int32)
+            else:
+                yield keys, lists.to_pylist(), None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         packer, base = Packer(capacity, most_open), part << 33
@@ -113,15 +136,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens",
                 made.append(list_array(np.concatenate([none, *tokens]), np.fromiter(map(len, tokens), np.int64, len(tokens))))
             return pa.RecordBatch.from_arrays([*made, pa.array([left] * len(pieces), pa.bool_())], names)
 
-        for b in batches:
-            kind, lists = b.column(0).type, b.column(1)
-            keys = b.column(0).to_pylist()
-            if ids_col:
-                flat = np.asarray(lists.flatten(), np.int32)
-                sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
-                begin, sizes = (np.cumsum(sizes) - sizes).tolist(), sizes.tolist()
-            else:
-                sizes = lists.to_pylist()
+        for ids, sizes, flat in read(batches):
+            kind, keys = ids.type, ids.to_pylist()
+            begin = (np.cumsum(sizes) - sizes).tolist() if ids_col else []
             for i, n in enumerate(sizes):
                 row += 1
                 if not n or n < 0:
@@ -138,7 +155,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens",
                         done += waiting.pop(closed)
                     if offset + n - start == capacity:
                         done += waiting.pop(number)
-                if len(done) >= 2000:
+                if len(done) >= 2000 or ids_col and len(done) * capacity > TOKENS_MOST:
                     yield batch(done, False)
                     done = []
         if done:

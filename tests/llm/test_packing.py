@@ -3,8 +3,12 @@ from collections import defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
+from fathom.llm import packing
+from fathom.llm.bpe import encode_bpe
 from fathom.llm.packing import Packer, pack, token_lengths
 from fathom.llm.queries import QUERIES
+from fathom.llm.shared import written
 from tests.llm.helpers import SF
 
 
@@ -92,6 +96,27 @@ def test_tokens(spark):
     assert sorted(tuple(r) for r in plain) == sorted((r.window_id, r.window_offset, r.doc_start, r.n_tokens) for r in out)
 
 
+def test_texts(spark, monkeypatch):
+    """Texts are packed as their ids are, in one Python step, whatever is encoded at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150).coalesce(1).select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(7, None), (None, "a b"), (8, ""), (9, "twice"), (9, "twice")], "doc_id long, text string")).coalesce(1)
+    want = sorted(map(tuple, pack(encode_bpe(docs, keep=["doc_id"]), ids_col="token_ids", capacity=100, most_open=4).collect()), key=str)
+    for most in (packing.TEXT_MOST, 50):
+        monkeypatch.setattr(packing, "TEXT_MOST", most)
+        monkeypatch.setattr(packing, "TOKENS_MOST", most)
+        out = pack(docs, text_col="text", capacity=100, most_open=4)
+        assert sorted(map(tuple, out.collect()), key=str) == want
+    assert pack(docs.limit(0), text_col="text").count() == 0
+
+
+def test_pipeline_packs_in_one_python_step(spark, monkeypatch):
+    """A second worker a core with another copy of the batches took an executor's memory."""
+    plans = []
+    monkeypatch.setattr(packing, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or written(df, name))
+    corpus_pipeline.packing_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert plans[0].partition("Physical Plan")[2].count("MapInArrow") == 1
+
+
 def test_partition_by_brute_force(spark):
     """One partition's windows against the plain rule, leftovers merged largest first."""
     sizes = [(i * 7919) % 97 + 1 for i in range(400)]
