@@ -333,7 +333,7 @@ def qualify_rank(t):
 @query("SELECT k, v, ROW_NUMBER() OVER (ORDER BY v ASC NULLS LAST, k) AS place FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders)")
 def sort_nulls(t):
     rows = t.orders.select(C("o_orderkey").alias("k"), F.when(C("o_orderkey") % 3 != 0, C("o_totalprice")).alias("v"))
-    return rows.select("k", "v", F.row_number().over(W.over([], [O.asc("v"), O.asc("k")])).cast("bigint").alias("place"))
+    return W.distributed(rows.select("k", "v", W.row_number(W.over([], [O.asc("v"), O.asc("k")])).alias("place")))
 
 
 @query("SELECT p_name, p_size FROM part ORDER BY p_size % 7 DESC, 1, p_partkey")
